@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, url_filters
 from .common import table
 
 
@@ -15,8 +15,46 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url: host, path, the base rule that wins and the verdict."""
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_table(spark), keep=["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filters": """
+WITH u AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM u
+), p AS (
+  SELECT page_id, lower(raw) AS host, regexp_extract(substring(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM h
+), r AS (
+  SELECT page_id, host, path,
+    CASE
+      WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'example.com/en/7'
+      WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/de/8%' THEN 'example.net/de/8'
+      WHEN ('.' || host) LIKE '%.com' AND path LIKE '/en/%' THEN 'com/en/'
+      WHEN ('.' || host) LIKE '%.net' AND path LIKE '/de/%' THEN 'net/de/'
+      WHEN ('.' || host) LIKE '%.org' AND path LIKE '/es/%' THEN 'org/es/'
+    END AS rule,
+    CASE
+      WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/adult/%' THEN 'example.com/adult/'
+      WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/adult/%' THEN 'example.net/adult/'
+      WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/adult/%' THEN 'example.org/adult/'
+      WHEN ('.' || host) LIKE '%.ads-track.example.com' THEN 'ads-track.example.com'
+      WHEN ('.' || host) LIKE '%.ads-track.example.net' THEN 'ads-track.example.net'
+      WHEN ('.' || host) LIKE '%.ads-track.example.org' THEN 'ads-track.example.org'
+      WHEN ('.' || host) LIKE '%.doubleclick.net' THEN 'doubleclick.net'
+    END AS own_rule
+  FROM p
+)
+SELECT page_id, host, path, rule, own_rule,
+  CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR own_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+""",
+}
