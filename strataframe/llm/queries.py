@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filters
+from . import chat_format, license_scan, quality_rules, url_filters
 from .common import table
 
 
@@ -15,17 +15,51 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: places of the base phrases, labels of all rules, score."""
+    return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says the template's own control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(own)))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url: host, path, the base rule that wins and the verdict."""
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_table(spark), keep=["page_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
+    "op6_chat_format": op6_chat_format,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), m AS (
+  SELECT *, CASE WHEN contains(text, '###') OR contains(text, '</turn>') THEN 1 ELSE 0 END AS clash,
+    replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '###', '\h') AS safe FROM t
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, max(clash) AS level,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(length(role) + length(text)) AS plain, sum(length(role) + length(safe)) AS escaped
+  FROM m GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(9 + 15 * n_turns + CASE WHEN level = 1 THEN escaped ELSE plain END AS BIGINT) AS formatted_chars, CAST(level AS INTEGER) AS level, true AS identical
+FROM g
+""",
     "op9_url_filters": """
 WITH u AS (
   SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
