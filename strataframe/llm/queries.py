@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, quality_rules, url_filters
+from . import best_fit_packing, chat_format, license_scan, mix_sources, quality_rules, url_filters
 from .common import table
 
 
@@ -15,6 +16,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each and the training position of the first copy, in that order."""
+    mixed = mix_sources.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    ordered = mix_sources.by_position(mixed, "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenized and packed into sequences of 1024 tokens: one row a piece."""
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), best_fit_packing.tokenizer_file())
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: places of the base phrases, labels of all rules, score."""
     return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -34,6 +47,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_license_scan": op3_license_scan,
     "op6_chat_format": op6_chat_format,
     "op9_url_filters": op9_url_filters,
@@ -41,6 +56,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents
+), n AS (
+  SELECT source, sum(size) AS source_size FROM d GROUP BY source
+), k AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM n
+), w AS (
+  SELECT *, CASE k WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, CAST(2 * source_size AS DOUBLE) AS cap FROM k
+), b AS (
+  SELECT *, cap / w AS ratio,
+    (1.5::DOUBLE * sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT level FROM b WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1
+), t AS (
+  SELECT source, source_size, k, least(cap, coalesce((SELECT level FROM l) * w, cap)) AS target FROM b
+), s AS (
+  SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, k,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), a AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS budget FROM s
+), c AS (
+  SELECT *, greatest(least(budget - start, size), 0) AS one, greatest(least(budget - start - source_size, size), 0) AS two,
+    CASE k WHEN 0 THEN CAST(start AS DOUBLE) / target * 5.0::DOUBLE WHEN 1 THEN CAST(start AS DOUBLE) / target * 2.0::DOUBLE ELSE CAST(start AS DOUBLE) / target END AS area
+  FROM a
+)
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
+  CASE WHEN one > 0 THEN round(CASE k
+    WHEN 0 THEN 2.0::DOUBLE * area / (7.5::DOUBLE + sqrt(greatest(56.25::DOUBLE - 10.0::DOUBLE * area, 0)))
+    WHEN 1 THEN area / 2.0::DOUBLE
+    ELSE 2.0::DOUBLE * area / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * area)) END, 9) END AS position
+FROM c
+""",
     "op6_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
