@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, chat_format, license_scan, mix_sources, quality_rules, url_filters
+from ..session import ship
+from . import best_fit_packing, chat_format, license_scan, mix_sources, order_minhash, quality_rules, toxicity, url_filters, warc_revisits
 from .common import table
 
 
@@ -25,6 +26,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenized and packed into sequences of 1024 tokens: one row a piece."""
+    ship(spark)
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), best_fit_packing.tokenizer_file())
 
 
@@ -33,6 +35,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl log of all pages, fetched and visited again: each record's outcome and, for a revisit, what it stands for."""
+    out = warc_revisits.resolve(warc_revisits.captures_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return out.withColumn("headers", headers)
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: fingerprints of the text and of the text edited with its successor, and their likenesses."""
+    return order_minhash.with_next(table(ship(spark), sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that says the template's own control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -41,6 +55,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(own)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: fold, score and prediction of a factorization machine trained on the labels outside the fold."""
+    return toxicity.scored_documents(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url: host, path, the base rule that wins and the verdict."""
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_table(spark), keep=["page_id"])
@@ -50,7 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_license_scan": op3_license_scan,
+    "op4_warc_revisits": op4_warc_revisits,
+    "op5_order_minhash": op5_order_minhash,
     "op6_chat_format": op6_chat_format,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -90,6 +112,42 @@ SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
     WHEN 1 THEN area / 2.0::DOUBLE
     ELSE 2.0::DOUBLE * area / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * area)) END, 9) END AS position
 FROM c
+""",
+    "op4_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, url, md5(CAST(page_id AS VARCHAR)) AS draw, '"' || substring(md5(coalesce(html, '')), 1, 12) || '"' AS tag FROM pages
+), g AS (
+  SELECT *, (position(substring(draw, 1, 1) IN '0123456789abcdef') - 1) * 16 + position(substring(draw, 2, 1) IN '0123456789abcdef') - 1 AS digit,
+    'day ' || CAST(CAST(floor(page_id / 10.0) AS BIGINT) AS VARCHAR) AS modified FROM p
+), c AS (
+  SELECT 2 * page_id AS record_id, url, 4 * page_id AS time, true AS fulls, tag AS etag, modified AS last_modified, digit, tag FROM g
+  UNION ALL
+  SELECT 2 * page_id + 1, url, 4 * page_id + 1 + digit, false, CASE WHEN digit % 8 = 0 THEN '"changed"' WHEN digit % 8 <> 1 THEN tag END, CASE WHEN digit % 16 <> 1 THEN modified END, digit, tag FROM g
+), b AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '#.*$', '') AS bare FROM c
+), h AS (
+  SELECT *, lower(regexp_extract(bare, '^([^/?]*)', 1)) AS host, substring(bare, length(regexp_extract(bare, '^([^/?]*)', 1)) + 1) AS rest FROM b
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/index\.html?$', '/'), '(\.html?|/+)$', '') AS base,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)=[^&]*$'))) AS params FROM h
+), k AS (
+  SELECT *, CASE WHEN url IS NOT NULL THEN base || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical FROM q
+), r AS (
+  SELECT *, max(CASE WHEN fulls THEN time END) OVER w AS found_time FROM k
+  WINDOW w AS (PARTITION BY canonical ORDER BY time, CASE WHEN fulls THEN 0 ELSE 1 END, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), j AS (
+  SELECT r.*, f.record_id AS f_id, f.time AS f_time, f.etag AS f_etag, f.last_modified AS f_modified
+  FROM r LEFT JOIN k f ON f.fulls AND f.canonical = r.canonical AND f.time = r.found_time AND NOT r.fulls
+), o AS (
+  SELECT *, CASE WHEN etag IS NOT NULL AND f_etag IS NOT NULL THEN etag = f_etag ELSE last_modified = f_modified END AS agreed FROM j
+), z AS (
+  SELECT *, CASE WHEN fulls THEN 'response' WHEN f_id IS NULL THEN 'orphan' WHEN agreed THEN 'resolved' WHEN NOT agreed THEN 'stale' ELSE 'unverified' END AS outcome FROM o
+)
+SELECT record_id, canonical, outcome, f_id AS refers_to, time - f_time AS age,
+  CASE WHEN fulls THEN 'content-type: text/html' || chr(10) || 'date: ' || CAST(time AS VARCHAR) || chr(10) || 'etag: ' || tag
+    WHEN outcome = 'resolved' THEN 'cache-control: max-age=' || CAST(digit AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || CAST(time AS VARCHAR) || chr(10) || 'etag: ' || f_etag END AS headers
+FROM z
 """,
     "op6_chat_format": r"""
 WITH t AS (

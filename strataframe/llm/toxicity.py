@@ -1,6 +1,6 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms of a text are its lower-cased words and the words' first four and five letters, each hashed to 32 bits; a
+Terms of a text are its lower-cased words and the words' first three to six letters, each hashed to 32 bits; a
 document has a term or not. The machine's score is a bias, a weight for each term and, through a short vector for
 each term, a weight for each pair, so that two terms that are harmless alone can be toxic together.
 
@@ -27,9 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TERMS, MIN_DOCS = 8_000, 4_096, 4
+SAMPLE, TERMS, MIN_DOCS, MIN_CHI = 8_000, 4_096, 4, 12.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 256, 0.05, 1e-4, 7
 FOLDS = 5
+#: Lengths of the word beginnings that are terms, for inflected and compounded words.
+PREFIXES = (3, 4, 5, 6)
 _WORD = re.compile(r"\w+")
 
 
@@ -39,7 +41,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _of_word(word: str) -> tuple[int, ...]:
-    raw = [word, *[f"{word[:k]}*" for k in (4, 5) if len(word) >= k]]
+    raw = [word, *[f"{word[:k]}*" for k in PREFIXES if len(word) >= k]]
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in raw)
 
 
@@ -96,7 +98,7 @@ def select_terms(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / np.maximum(n1 * n0 * both * (n1 + n0 - both), 1e-9)
     chi[both < MIN_DOCS] = 0
     best = np.argsort(-chi, kind="stable")[:TERMS]
-    return np.sort(ids[best[chi[best] > 3.84]])
+    return np.sort(ids[best[chi[best] > MIN_CHI]])
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
