@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import best_fit_packing, chat_format, license_scan, mix_sources, order_minhash, quality_rules, toxicity, url_filters, warc_revisits
+from . import best_fit_packing, chat_format, license_scan, mix_sources, ngram_jaccard, order_minhash, quality_rules, toxicity, url_filters, warc_revisits
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(own)))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: class of five-word shingle similarity 0.8 or more, and numbers of links."""
+    return ngram_jaccard.join(table(ship(spark), sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: fold, score and prediction of a factorization machine trained on the labels outside the fold."""
     return toxicity.scored_documents(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_revisits": op4_warc_revisits,
     "op5_order_minhash": op5_order_minhash,
     "op6_chat_format": op6_chat_format,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
