@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
+_own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -23,10 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="strataframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="strataframe-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
