@@ -1 +1 @@
-"""functions"""
+"""Scalar building blocks: key codec, digests, schemas, tensors, sizes."""

@@ -1 +1 @@
-"""plans"""
+"""Repositories on storage, their transactions, and the catalogue of queries."""
