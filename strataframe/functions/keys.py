@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Legal string keys, column and branch names.
 LEGAL = r"[A-Za-z0-9_.\-]{1,64}"
-_LEGAL = re.compile(f"^{LEGAL}$", re.ASCII)
+_LEGAL = re.compile(LEGAL, re.ASCII)
 
 Key = int | str
 
@@ -19,7 +19,7 @@ def is_legal_key(key: object) -> bool:
     """Integers from 0 up, and strings of 1 to 64 ASCII letters, digits, ``_``, ``.`` and ``-``."""
     if isinstance(key, int):
         return key >= 0 and len(str(int(key))) <= 64
-    return isinstance(key, str) and bool(_LEGAL.match(key))
+    return isinstance(key, str) and bool(_LEGAL.fullmatch(key))
 
 
 def is_ascii(text: str) -> bool:
@@ -54,4 +54,4 @@ def decoded_int(stored: Column) -> Column:
 
 
 def legal(column: Column, integer: bool = False) -> Column:
-    return (column >= 0) if integer else F.coalesce(column.rlike(f"^{LEGAL}$"), F.lit(False))
+    return (column >= 0) if integer else F.coalesce(column.rlike(f"^{LEGAL}\\z"), F.lit(False))

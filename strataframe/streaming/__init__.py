@@ -1 +1 @@
-"""streaming"""
+"""Streams into repositories."""
