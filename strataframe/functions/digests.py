@@ -65,14 +65,20 @@ def record_hash(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws("|", "kind", "col", "sample_key", F.coalesce("subsample_key", F.lit("")), "digest"), 256)
 
 
-def refs_digest(records: Column, df: DataFrame) -> DataFrame:
+#: Digest of a snapshot without records.
+EMPTY_REFS = hashlib.sha256(b"").hexdigest()
+
+
+def refs_digest(records: Column, df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Digest of a set of record hashes, in two levels: first by their leading four hex digits, then of those digests.
 
-    The upper level has at most 65,536 rows whatever the snapshot's size. One row: refs_digest, n_records.
+    The upper level has at most 65,536 rows whatever the snapshot's size. refs_digest and n_records: one row, or one for
+    each value of ``by``.
     """
-    parts = df.select(records.alias("h")).groupBy(F.substr("h", F.lit(1), F.lit(4)).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
+    by = by or []
+    parts = df.select(*by, records.alias("h")).groupBy(*by, F.substr("h", F.lit(1), F.lit(4)).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
     top = F.sort_array(F.collect_list(F.struct("part", "d")))
-    return parts.agg(F.sha2(F.array_join(F.transform(top, lambda x: x["d"]), ""), 256).alias("refs_digest"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_records"))
+    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(top, lambda x: x["d"]), ""), 256).alias("refs_digest"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_records"))
 
 
 def blake2b_udf(code: str):

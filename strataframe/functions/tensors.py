@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def from_row(kind: str, dtype: str | None, shape, data, text: str | None) -> obj
 
 def from_array(values: Column, dtype: str = "float32") -> list[Column]:
     """kind, dtype, shape, data, text of a column of Spark arrays of that element type, through one Arrow pass."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def packed(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None else np.asarray(x, dtype=np.dtype(dtype).newbyteorder("<")).tobytes())
@@ -45,8 +44,6 @@ def from_array(values: Column, dtype: str = "float32") -> list[Column]:
 
 def to_array(dtype: str, spark_type: str = "array<float>"):
     """Arrow UDF from a tensor's bytes to a flat Spark array."""
-    import pandas as pd
-
     @F.pandas_udf(spark_type)
     def opened(data: pd.Series) -> pd.Series:
         return data.map(lambda x: None if x is None else np.frombuffer(bytes(x), dtype=dtype))

@@ -5,13 +5,17 @@ Snapshots are derived from a table by rules, so that Spark and any SQL engine bu
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import digests, keys
+from ..functions import digests, keys, tensors
 from ..operators import access, algebra, history, integrity
+from ..session import ship
+from .repository import Repository
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,6 +434,78 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("col").agg(F.count("*").alias("n"))
 
 
+# --- repositories -----------------------------------------------------------------------------------------------
+
+
+def _repository(spark: SparkSession) -> Repository:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataframe-")
+    repo = Repository(ship(spark), f"{folder}/repository-{uuid.uuid4().hex}")
+    repo.init("catalogue", "catalogue@example.org")
+    return repo
+
+
+def _texts(rows: DataFrame, key: str, text: F.Column) -> DataFrame:
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("dtype", "string"), ("shape", "array<int>"), ("data", "binary"))]
+    return rows.select(keys.encoded(F.col(key), True).alias("sample_key"), F.lit("").alias("subsample_key"), F.lit("str").alias("kind"), *none, text.alias("text"))
+
+
+@query("repo_checkout_scan", "SELECT '#' || CAST(doc_id AS VARCHAR) AS sample_key, '2=' || sha256(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS nbytes FROM documents")
+def repo_checkout_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to a column, committed, checked out and read with their values."""
+    repo = _repository(spark)
+    co = repo.checkout(write=True)
+    co.add_str_column("documents").update_dataframe(_texts(_t(spark, sf_dir, "documents"), "doc_id", F.col("text")))
+    co.commit("documents")
+    co.close()
+    return repo.checkout()["documents"].dataframe().select("sample_key", "digest", F.octet_length("text").cast("long").alias("nbytes"))
+
+
+@query("repo_import_tensors", "SELECT '#' || CAST(vec_id AS VARCHAR) AS sample_key, 64 AS n_values, CAST(label AS BIGINT) AS label FROM embeddings")
+def repo_import_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as float32 tensors, digested in bulk, read back decoded and zipped with a second column."""
+    repo = _repository(spark)
+    e = _t(spark, sf_dir, "embeddings")
+    key = [keys.encoded(F.col("vec_id"), True).alias("sample_key"), F.lit("").alias("subsample_key")]
+    co = repo.checkout(write=True)
+    co.add_ndarray_column("vectors", shape=64, dtype="float32").update_dataframe(e.select(*key, *tensors.from_array(F.col("embedding"))))
+    co.add_str_column("labels").update_dataframe(_texts(e, "vec_id", F.col("label").cast("string")))
+    co.commit("embeddings")
+    co.close()
+    now = repo.checkout()
+    vectors = now["vectors"].dataframe().select("sample_key", F.size(tensors.to_array("<f4")("data")).alias("value"))
+    labels = now["labels"].dataframe().select("sample_key", F.col("text").cast("long").alias("value"))
+    return access.zip_columns({"n_values": vectors, "label": labels}, ["sample_key"])
+
+
+_BODY = "o_orderstatus || '|' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {text})"
+
+
+@query("repo_merge_orders", f"""WITH o AS (SELECT o_orderkey AS k, {_BODY.format(text='VARCHAR')} AS b FROM orders)
+SELECT '#' || CAST(k AS VARCHAR) AS sample_key, '2=' || sha256(CASE WHEN k % 2 = 0 AND k % 7 = 0 AND k % 10 <> 0 THEN b || 'm' WHEN k % 2 = 1 AND k % 11 = 0 THEN b || 'd' ELSE b END) AS digest
+FROM o WHERE (k % 10 <> 0 OR k % 20 = 10) AND NOT (k % 26 = 0 AND k % 10 <> 0)""")
+def repo_merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders on two branches that change, delete and add different keys, merged three ways and read at the merge."""
+    repo = _repository(spark)
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_BODY.format(text="STRING")).alias("b"))
+
+    def land(branch: str, put: DataFrame, gone: DataFrame | None = None) -> None:
+        co = repo.checkout(write=True, branch=branch)
+        if "orders" not in co:
+            co.add_str_column("orders")
+        co.column("orders").update_dataframe(put)
+        if gone is not None:
+            co.column("orders").delete_dataframe(gone)
+        co.commit(branch)
+        co.close()
+
+    land("master", _texts(o.where("k % 10 <> 0"), "k", F.col("b")))
+    repo.create_branch("dev")
+    land("master", _texts(o.where("k % 2 = 0 AND k % 7 = 0 AND k % 10 <> 0"), "k", F.concat("b", F.lit("m"))), _texts(o.where("k % 26 = 0 AND k % 10 <> 0"), "k", F.col("b")))
+    added = o.where("k % 20 = 10").unionByName(o.where("k % 2 = 1 AND k % 11 = 0").withColumn("b", F.concat("b", F.lit("d"))))
+    land("dev", _texts(added, "k", F.col("b")))
+    return repo.checkout(commit=repo.merge("both", "master", "dev"))["orders"].records().select("sample_key", "digest")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes between two versions of orders, by kind."""
     return diff_counts(spark, sf_dir)

@@ -156,6 +156,13 @@ class Column:
         self._co.put_dataframe(self.kind, self.column, rows)
 
 
+    def delete_dataframe(self, gone: DataFrame) -> None:
+        """Delete many samples at once: sample_key and subsample_key in stored form. Keys that are not there don't matter."""
+        self._co.must_write()
+        self._co.flush()
+        self._co.store.stage(gone.select(F.lit(self.kind).alias("kind"), F.lit(self.column).alias("col"), "sample_key", "subsample_key", F.lit(None).cast("string").alias("digest"), F.lit("del").alias("op")))
+
+
 def _drawn() -> str:
     return "".join(random.choices(string.ascii_lowercase + string.digits, k=16))
 

@@ -8,6 +8,7 @@ import warnings
 from pyspark.sql import SparkSession
 
 from .. import __version__
+from ..functions import digests
 from ..functions.keys import check_name
 from ..functions.sizes import format_bytes
 from ..operators import history, integrity
@@ -235,15 +236,13 @@ class Repository:
             raise RuntimeError(f"more than one first commit: {[r[0] for r in found]}")
         if not s.commits():
             return True
-        from ..functions.digests import commit_digest, record_hash, refs_digest
-
+        refs = s.all_refs()
+        found = {r["commit"]: r["refs_digest"] for r in digests.refs_digest(digests.record_hash(refs), refs, ["commit"]).collect()}
         for digest, c in s.commits().items():
-            records = s.refs(digest)
-            found = refs_digest(record_hash(records), records).first()["refs_digest"]
             spec = {k: c[k] for k in ("commit_time", "message", "user", "email")}
-            if found != c["refs_digest"] or commit_digest(c["parents"], spec, found) != digest:
+            own = found.get(digest, digests.EMPTY_REFS)
+            if own != c["refs_digest"] or digests.commit_digest(c["parents"], spec, own) != digest:
                 raise RuntimeError(f"commit {digest} does not have its digest")
-        refs = s.all_refs()
         known = s.objects().select("digest").unionByName(s.remote_refs().select("digest"))
         none(integrity.refs_without_object(refs, known), "records without value")
         none(integrity.refs_without_schema(refs, s.schemas_table()), "columns without schema")
