@@ -26,11 +26,13 @@ different texts are different documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 N, THRESHOLD = 5, 0.8
-SKETCH, LIMIT, DEPTH, RECALL = 64, 256, 4, 0.99
+SKETCH, LIMIT, DEPTH, RECALL = 64, 1024, 4, 0.99
 #: Sketches agree in this share of places at least for a pair to be a candidate: four standard deviations below the threshold.
 NEAR = 0.6
 BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 2_000_000
@@ -123,15 +125,49 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / a.shape[1]
 
 
-def _compare_node(pdf: pd.DataFrame) -> pd.DataFrame:
+def _near_in_group(keys: list[bytes], s: np.ndarray, left: np.ndarray) -> list[tuple[bytes, bytes]]:
     """Stars of a node or of a block of one; where ``left`` is set on some rows only, pairs hold one of those."""
-    pdf = pdf.drop_duplicates("key")
-    keys, s, left = list(pdf["key"]), np.stack(pdf["sketch"].to_numpy()), pdf["left"].to_numpy(dtype=bool)
     if left.all():
-        return pd.DataFrame(_stars(keys, _agreement(s, s) >= NEAR), columns=["a", "b"])
+        return _stars(keys, _agreement(s, s) >= NEAR)
     at, near = np.flatnonzero(left), np.zeros((len(keys), len(keys)), dtype=bool)
     near[at] = _agreement(s[at], s) >= NEAR
-    return pd.DataFrame(_stars(keys, near | near.T), columns=["a", "b"])
+    return _stars(keys, near | near.T)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of all groups (node, block) of a partition sorted by group: groups of two at once, larger ones each.
+
+    The last group of a batch waits for the next one, so a group is never split.
+    """
+    waiting: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows == 0:
+            continue
+        rows = pa.Table.from_batches([*waiting, *([batch] if batch is not None else [])]).combine_chunks() if waiting or batch is not None else None
+        if rows is None or not rows.num_rows:
+            continue
+        node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+        starts = np.r_[0, np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1]
+        end = len(node) if batch is None else starts[-1]
+        waiting = [] if batch is None else rows.slice(end).to_batches()
+        if not end:
+            continue
+        rows, starts = rows.slice(0, end), starts[starts < end]
+        sizes = np.diff(np.r_[starts, end])
+        s = rows["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
+        left, keys = rows["left"].to_numpy(), rows["key"].to_pylist()
+        out: list[tuple[bytes, bytes]] = []
+        two = starts[sizes == 2]
+        near = ((s[two] == s[two + 1]).mean(axis=1) >= NEAR) & (left[two] | left[two + 1])
+        out += [(min(keys[i], keys[i + 1]), max(keys[i], keys[i + 1])) for i in two[near].tolist()]
+        for i, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            out += _near_in_group(keys[i : i + n], s[i : i + n], left[i : i + n])
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+
+def _compared(groups: DataFrame) -> DataFrame:
+    """Edges of groups (node, block, key, sketch, left), which meet by a shuffle and a sort of sketches."""
+    return groups.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_compare, EDGES)
 
 
 EDGES = "a binary, b binary"
@@ -148,8 +184,8 @@ def candidates(texts: DataFrame, made: list[DataFrame]) -> DataFrame:
         live = rows.join(counts, "node").join(texts, "key").select("node", "m", "key", "sketch")
         live = cut(live)
         made.append(live)
-        small = live.where(F.col("m") <= LIMIT).select("node", "key", "sketch", F.lit(True).alias("left"))
-        edges = edges.unionByName(small.groupBy("node").applyInPandas(_compare_node, EDGES))
+        small = live.where(F.col("m") <= LIMIT).select("node", F.lit(0).alias("block"), "key", "sketch", F.lit(True).alias("left"))
+        edges = edges.unionByName(_compared(small))
         large = live.where(F.col("m") > LIMIT)
         if large.isEmpty():
             break
@@ -160,7 +196,7 @@ def candidates(texts: DataFrame, made: list[DataFrame]) -> DataFrame:
         rest = held.groupBy("node").agg(F.sum(F.col("left").cast("long")).alias("u")).where("u > 0")
         held = held.join(rest, "node")
         now = F.lit(True) if depth == DEPTH else F.col("u") * F.col("m") <= 4 * LIMIT * LIMIT
-        edges = edges.unionByName(_in_blocks(held.where(now)).groupBy("node", "block").applyInPandas(_compare_node, EDGES))
+        edges = edges.unionByName(_compared(_in_blocks(held.where(now))))
         if depth < DEPTH:
             chance = int((1 << 62) / (THRESHOLD * SKETCH))
             drawn = F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.shiftrightunsigned(F.xxhash64("node", i), 2) < chance)
