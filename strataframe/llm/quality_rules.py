@@ -2,7 +2,7 @@
 
 Every document gets two histograms, over character classes and over its language's common words. Each is
 compared to the language's reference (the mean histogram of all documents of that language that the base rules
-keep) by the Jensen-Shannon distance. A document goes when the base rules fail it, or when a distance is over its
+keep, the far ones left out in a second pass) by the Jensen-Shannon distance. A document goes when the base rules fail it, or when a distance is over its
 limit and the document is long enough for that histogram to mean something (the minimum-length guards).
 
 Only DataFrame functions run. The references are one row for each language of ``COMMON_WORDS`` and one for all
@@ -30,8 +30,10 @@ COMMON_WORDS = {
 }
 OTHER = ""
 #: Largest distances that pass, and the least characters or words for the distance to count.
-LIMITS = {"class_distance": 0.16, "word_distance": 0.3, "min_chars": 800, "min_words": 100}
+LIMITS = {"class_distance": 0.19, "word_distance": 0.32, "min_chars": 200, "min_words": 50}
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Times the mean distance beyond which a document does not shape its language's reference.
+TRIM = 1.5
 #: Columns that ``judge`` adds.
 VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 
@@ -153,29 +155,48 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def references(found: DataFrame, min_chars: int) -> DataFrame:
-    """From FEATURES: mean histograms of each language over all its documents of at least ``min_chars`` characters, as ref_language, ref_classes, ref_common.
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
-    Means are merged on the map side, so a language with most of the rows costs one small row a task.
-    """
-    shares = found.where(F.col("n_chars") >= min_chars).select("language", _share(F.col("classes")).alias("c"), _share(F.col("common")).alias("m"))
+
+def _means(found: DataFrame) -> DataFrame:
+    """Mean histograms by language: ref_language, ref_classes, ref_common. Merged on the map side: one small row a task and language."""
+    shares = found.select("language", _share(F.col("classes")).alias("c"), _share(F.col("common")).alias("m"))
     n_c, n_m = 7, 1 + max(map(len, COMMON_WORDS.values()))
     means = shares.groupBy("language").agg(*[F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n_c)], *[F.avg(F.get("m", F.lit(i))).alias(f"m{i}") for i in range(n_m)])
     common = F.filter(F.array(*[f"m{i}" for i in range(n_m)]), lambda x: x.isNotNull())
     return means.select(F.col("language").alias("ref_language"), F.array(*[f"c{i}" for i in range(n_c)]).alias("ref_classes"), common.alias("ref_common"))
 
 
+def _with_distances(found: DataFrame, refs: DataFrame) -> DataFrame:
+    got = found.join(F.broadcast(refs), F.col("language") == F.col("ref_language"), "left")
+    cd = F.when(F.col("ref_classes").isNotNull(), js_distance(_share(F.col("classes")), F.col("ref_classes")))
+    wd = F.when(F.col("ref_common").isNotNull() & (F.col("language") != OTHER), js_distance(_share(F.col("common")), F.col("ref_common")))
+    return got.select("*", cd.alias("class_distance"), wd.alias("word_distance")).drop("ref_language", "ref_classes", "ref_common")
+
+
+def references(found: DataFrame, min_chars: int) -> DataFrame:
+    """From FEATURES, over all documents of a language that are long enough and pass the base rules: ref_language, ref_classes, ref_common.
+
+    The mean is taken twice: the second time without those farther from the first mean than TRIM times the mean
+    distance, so that odd documents don't pull the reference towards themselves.
+    """
+    usable = found.where((F.col("n_chars") >= min_chars) & ~_base_failed()).select(*FEATURES)
+    first = _with_distances(usable, _means(usable))
+    cuts = first.groupBy(F.col("language").alias("cut_language")).agg((TRIM * F.avg("class_distance")).alias("cut_c"), (TRIM * F.avg("word_distance")).alias("cut_w"))
+    near = first.join(F.broadcast(cuts), F.col("language") == F.col("cut_language"))
+    return _means(near.where((F.col("class_distance") <= F.col("cut_c")) & F.coalesce(F.col("word_distance") <= F.col("cut_w"), F.lit(True))))
+
+
 def _judged(docs: DataFrame, keep: list[str], text: str, lang: str, limits: dict | None) -> DataFrame:
     """The features are worked out once and written: the references and the verdicts both read them."""
     limits = LIMITS | (limits or {})
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     found = cut(features(packed))
-    got = found.join(F.broadcast(references(found, limits["min_chars"])), F.col("language") == F.col("ref_language"), "left")
-    cd = F.when((F.col("n_chars") >= limits["min_chars"]) & F.col("ref_classes").isNotNull(), js_distance(_share(F.col("classes")), F.col("ref_classes")))
-    wd = F.when((F.col("n_words") >= limits["min_words"]) & F.col("ref_common").isNotNull() & (F.col("language") != OTHER), js_distance(_share(F.col("common")), F.col("ref_common")))
-    got = got.select("*", cd.alias("class_distance"), wd.alias("word_distance"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > limits["class_distance"]) | (F.coalesce("word_distance", F.lit(0.0)) > limits["word_distance"])
+    got = _with_distances(found, references(found, limits["min_chars"]))
+    far = (F.col("n_chars") >= limits["min_chars"]) & (F.coalesce("class_distance", F.lit(0.0)) > limits["class_distance"])
+    far = far | (F.col("n_words") >= limits["min_words"]) & (F.coalesce("word_distance", F.lit(0.0)) > limits["word_distance"])
+    failed = _base_failed()
     return got.select("*", failed.alias("base_failed"), F.when(failed, False).otherwise(~far).alias("kept"))
 
 
