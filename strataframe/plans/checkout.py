@@ -13,6 +13,7 @@ from ..functions import digests
 from ..functions.keys import check_name, encode_key
 from ..functions.schemas import ColumnSchema
 from ..functions.tensors import from_row
+from ..operators import algebra
 from ..sources.store import OBJECTS, Store
 from .columns import FlatColumn, NestedColumn, column_of
 from .differ import Differ
@@ -328,10 +329,13 @@ class WriterCheckout(Checkout):
     def commit(self, commit_message: str) -> str:
         """Make staging the branch's next commit; RuntimeError if nothing changed."""
         self.must_write()
-        self.flush()
-        if self.diff.status() == "CLEAN":
-            raise RuntimeError("there is nothing to commit")
-        digest = make_commit(self.store, self.records(), [self._commit] if self._commit else [], commit_message)
+        records = self.records().persist()
+        try:
+            if not self.store.files.exists("staging") or algebra.diff(self.store.refs(self._commit), records).isEmpty():
+                raise RuntimeError("there is nothing to commit")
+            digest = make_commit(self.store, records, [self._commit] if self._commit else [], commit_message)
+        finally:
+            records.unpersist()
         self._land(digest)
         return digest
 

@@ -31,7 +31,11 @@ def merge_into(store: Store, message: str, master: str, dev: str) -> str:
         clash = Diff(algebra.diff(sides[2], sides[1]), all_conflicts(*sides))
         if clash.has_conflict:
             raise ValueError(f"{master!r} and {dev!r} are in conflict: {({k: v for k, v in clash.conflict.items() if v})}")
-        digest = make_commit(store, algebra.merge(*sides), [mine, theirs], message)
+        merged = algebra.merge(*sides).persist()
+        try:
+            digest = make_commit(store, merged, [mine, theirs], message)
+        finally:
+            merged.unpersist()
     store.set_heads(heads | {master: digest})
     store.clear_staging()
     store.set_state(branch=master)

@@ -305,6 +305,8 @@ def test_many_samples_as_a_dataframe(filled, spark):
     co = filled.checkout()
     assert len(co["many"]) == 500 and co["many"][123] == "3"
     assert co["many"].dataframe().select("text").distinct().count() == 10
+    change(filled, "master", lambda co: co["many"].delete_dataframe(rows.where("cast(substring(sample_key, 2) AS int) >= 400")))
+    assert 499 not in filled.checkout()["many"] and 123 in filled.checkout()["many"]
     co = filled.checkout(write=True)
     with pytest.raises(ValueError):
         co["many"].update_dataframe(rows.withColumn("text", F.lit(None).cast("string")))
