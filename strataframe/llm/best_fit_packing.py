@@ -5,7 +5,8 @@ full pieces, after a first one of what is left over. Pieces (a few numbers each)
 that no document, source or group of copies makes a hot one. Within a shard, full pieces stand alone, the others go
 best fit, largest first; then bins with room are improved. The emptiest bin gives its pieces away: a piece moves to
 the fullest bin with room for it, or changes places with one smaller piece, or with two, of a fuller bin. Each step
-makes the sum of squared fills grow, so it ends; a bin that has given all away is gone.
+makes the sum of squared fills grow, so it ends; a bin that has given all away is gone. Bins with room are held by
+what they may give back and by fill, so a step looks at sizes, not at bins, and the search runs until no step is left.
 
 ``shards`` follows the number of documents; a shard is some hundred thousand small numbers in one task.
 
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 
 CAPACITY, END = 1024, 2
 DOCS_PER_SHARD = 32_768
-#: Trials of places a shard's local search may make.
-SEARCH_STEPS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 #: The word pattern of byte-level BPE files whose pre-tokenizer is ByteLevel.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     return narrow.mapInPandas(cut, PIECES + ", ids binary" * with_ids)
 
 
-def fill_bins(lengths: np.ndarray, capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> list[list[int]]:
+def fill_bins(lengths: np.ndarray, capacity: int = CAPACITY, steps: int | None = None) -> list[list[int]]:
     """Item numbers by bin: best fit, largest first, then local search. Deterministic."""
     bins: list[list[int]] = [[int(i)] for i in np.flatnonzero(lengths >= capacity)]
     stacks: dict[int, list[int]] = {}
@@ -120,59 +119,102 @@ def fill_bins(lengths: np.ndarray, capacity: int = CAPACITY, steps: int = SEARCH
     return bins + improve(open_bins, lengths, capacity, steps)
 
 
-def improve(open_bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: int) -> list[list[int]]:
-    """Local search over bins with room: moves, one-for-one and two-for-one exchanges, each raising the squared fills."""
+class _Takers:
+    """Bins with room by (sum they may give back, fill). A sum is 0, one piece or two, below that of the largest piece.
+
+    ``highest[s, t]`` is the greatest fill up to t of a bin that may give back s, or -1, so the best exchange for a
+    piece is looked up on one diagonal, whatever the number of bins. It takes two bytes for each (sum, fill).
+    """
+
+    def __init__(self, capacity: int, largest: int) -> None:
+        self.capacity, self.largest = capacity, largest
+        self.highest = np.full((largest, capacity), -1, np.int16 if capacity < 1 << 15 else np.int32)
+        self.bins: dict[tuple[int, int], dict[int, None]] = {}
+
+    def _sums(self, sizes: list[int]) -> set[int]:
+        small = [k for k in sizes if k < self.largest]
+        twos = {a + b for n, a in enumerate(small) for b in small[:n]}
+        return {0, *small, *(k for k in twos if k < self.largest)}
+
+    def add(self, b: int, fill: int, sizes: list[int]) -> None:
+        if fill >= self.capacity:
+            return
+        for s in self._sums(sizes):
+            held = self.bins.setdefault((s, fill), {})
+            if not held:
+                row = self.highest[s, fill:]
+                np.maximum(row, fill, out=row)
+            held[b] = None
+
+    def remove(self, b: int, fill: int, sizes: list[int]) -> None:
+        if fill >= self.capacity:
+            return
+        for s in self._sums(sizes):
+            held = self.bins[s, fill]
+            del held[b]
+            if not held:
+                row = self.highest[s, fill:]
+                row[row == fill] = self.highest[s, fill - 1] if fill else -1
+
+    def best(self, x: int, fill: int) -> tuple[int, int, int] | None:
+        """(growth of squared fills, sum given back, bin) of the best exchange for a piece of size x of a bin of this fill."""
+        f = self.highest.diagonal(self.capacity - x).astype(np.int64)  # the fill may be capacity - x + s at most
+        moved = np.arange(x, x - len(f), -1)
+        grown = np.where(f >= 0, 2 * moved * (f - fill + moved), 0)
+        s = int(grown.argmax())
+        return (int(grown[s]), s, next(iter(self.bins[s, int(f[s])]))) if grown[s] > 0 else None
+
+
+def improve(open_bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: int | None = None) -> list[list[int]]:
+    """Local search over bins with room: moves, one-for-one and two-for-one exchanges, each raising the squared fills.
+
+    Bins give in order of fill, again and again until none of them has a step left, or there are as few bins as the
+    sum of their pieces needs. ``steps`` is for callers that want to stop before.
+    """
     size = {i: int(lengths[i]) for b in open_bins for i in b}
     fill = [sum(size[i] for i in b) for b in open_bins]
     bound = -(-sum(fill) // capacity)
+    takers = _Takers(capacity, max(size.values(), default=0))
     order = sorted(range(len(open_bins)), key=lambda b: (fill[b], b))
-    alive, left = set(order), steps
-    for giver in order:
-        if len(alive) <= bound or left <= 0:
-            break
-        while open_bins[giver] and left > 0:
-            best = None  # (growth of squared fills, taker, piece given, pieces taken back)
-            for x in sorted(open_bins[giver], key=lambda i: -size[i]):
-                for b in alive:
-                    if b == giver or fill[b] >= capacity or fill[b] < fill[giver] and size[x] + fill[b] <= fill[giver]:
-                        continue
-                    left -= 1
-                    room = capacity - fill[b]
-                    for back in _exchanges(size[x], room, open_bins[b], size):
-                        moved = size[x] - sum(size[i] for i in back)
-                        grown = (fill[b] + moved) ** 2 + (fill[giver] - moved) ** 2 - fill[b] ** 2 - fill[giver] ** 2
-                        if grown > 0 and (best is None or grown > best[0]):
-                            best = (grown, b, x, back)
-            if best is None:
-                break
-            _, b, x, back = best
-            open_bins[giver].remove(x)
-            open_bins[b].append(x)
-            for i in back:
-                open_bins[b].remove(i)
-                open_bins[giver].append(i)
-            moved = size[x] - sum(size[i] for i in back)
-            fill[b] += moved
-            fill[giver] -= moved
-        if not open_bins[giver]:
-            alive.discard(giver)
+    for b in order:
+        takers.add(b, fill[b], [size[i] for i in open_bins[b]])
+    alive, made, again = len(open_bins), 0, True
+    while again:
+        again = False
+        for giver in sorted((b for b in order if open_bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
+            if alive <= bound or made == steps:
+                return [open_bins[b] for b in order if open_bins[b]]
+            if fill[giver] >= capacity:
+                continue
+            takers.remove(giver, fill[giver], [size[i] for i in open_bins[giver]])
+            while open_bins[giver] and made != steps:
+                found = [(*got, k) for k in sorted({size[i] for i in open_bins[giver]}, reverse=True) if (got := takers.best(k, fill[giver]))]
+                if not found:
+                    break
+                _, s, b, k = max(found, key=lambda f: f[0])
+                takers.remove(b, fill[b], [size[i] for i in open_bins[b]])
+                x, back = next(i for i in open_bins[giver] if size[i] == k), _of_sum(s, open_bins[b], size)
+                open_bins[giver] = [i for i in open_bins[giver] if i != x] + back
+                open_bins[b] = [i for i in open_bins[b] if i not in back] + [x]
+                fill[giver] -= k - s
+                fill[b] += k - s
+                takers.add(b, fill[b], [size[i] for i in open_bins[b]])
+                made, again = made + 1, True
+            if open_bins[giver]:
+                takers.add(giver, fill[giver], [size[i] for i in open_bins[giver]])
+            else:
+                alive -= 1
     return [open_bins[b] for b in order if open_bins[b]]
 
 
-def _exchanges(x: int, room: int, items: list[int], size: dict[int, int]) -> list[list[int]]:
-    """What a bin with ``room`` may give back for a piece of size x: nothing, one smaller piece, or two."""
-    out: list[list[int]] = [[]] if x <= room else []
-    low = x - room
-    ones = [i for i in items if low <= size[i] < x]
-    if ones:
-        out.append([min(ones, key=lambda i: (size[i], i))])
-    small = sorted((i for i in items if size[i] < x), key=lambda i: (size[i], i))
-    for a in range(len(small)):
-        for b in range(a + 1, len(small)):
-            if low <= size[small[a]] + size[small[b]] < x:
-                out.append([small[a], small[b]])
-                break
-    return out
+def _of_sum(s: int, items: list[int], size: dict[int, int]) -> list[int]:
+    """No piece, one or two of this sum, one before two."""
+    if not s:
+        return []
+    one = next((i for i in items if size[i] == s), None)
+    if one is not None:
+        return [one]
+    return next([i, j] for n, i in enumerate(items) for j in items[:n] if size[i] + size[j] == s)
 
 
 def pack(parts: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:

@@ -134,6 +134,22 @@ def test_local_search_swaps():
     assert len(packing.improve([[0, 1], [2], [3]], lengths, 100, 1000)) == 2
 
 
+def test_local_search_runs_to_its_end_on_thousands_of_bins():
+    """Every giver against every bin by brute force: no move and no exchange for one piece or two is left."""
+    r = np.random.default_rng(1)
+    lengths = np.sort(r.integers(250, 451, 6000))[::-1].copy()
+    made = packing.fill_bins(lengths)
+    assert sorted(i for b in made for i in b) == list(range(6000)) and max(lengths[b].sum() for b in made) <= 1024
+    assert len(made) < 0.97 * len(packing.fill_bins(lengths, steps=0)) and len(made) > -(-lengths.sum() // 1024)
+    sizes = [[int(lengths[i]) for i in b] for b in made]
+    for giver in sorted(range(len(made)), key=lambda b: sum(sizes[b]))[:: len(made) // 40]:
+        g = sum(sizes[giver])
+        for b, own in enumerate(sizes):
+            f = sum(own)
+            backs = [0, *own, *(own[i] + own[j] for i in range(len(own)) for j in range(i))]
+            assert b == giver or not any(0 < x - s <= 1024 - f and f + x - s > g for x in sizes[giver] for s in backs)
+
+
 # Revisits.
 
 
