@@ -29,7 +29,7 @@ BASE_PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rig
 #: Bytes that separate words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Every rule's keyword holds one of these.
-ROOTS = ["licen", "copyright", "rights reserved", "cc by", "cc0", "creative commons", "gpl", "public domain", "permission", "redistribution", "warrant", "beerware", "confidential", "all bugs"]
+ROOTS = ["licen", "copyright", "rights reserved", "cc by", "cc0", "creative commons", "gpl", "public domain", "permission", "redistribution", "warrant", "beerware", "confidential", "all bugs", "gfdl", "same terms as perl", "good not evil"]
 #: Tiers: texts of licences, names with version, names, general notices.
 TEXT, VERSIONED, NAMED, NOTICE = 3, 2, 1, 0
 
@@ -67,7 +67,7 @@ def build_rules() -> list[dict]:
     add("unlicense", TEXT, "public domain", "this is free and unencumbered software released into the public domain", 1.0)
     add("wtfpl", TEXT, "public license", "do what the fuck you want to public license", 1.0)
     add("beerware", TEXT, "beerware", "(?:the )?beerware license(?: revision 42)?", 1.0)
-    add("json", TEXT, "licen", "the software shall be used for good not evil", 1.0)
+    add("json", TEXT, "good not evil", "the software shall be used for good not evil", 1.0)
     # The GNU family.
     gnu = [("gpl", r"(?:gnu )?general public license", "gpl", ["1", "2", "3"]), ("lgpl", r"(?:gnu )?(?:lesser|library) general public license", "lgpl", ["2", "2.1", "3"]), ("agpl", r"(?:gnu )?affero general public license", "agpl", ["1", "3"]), ("gfdl", r"(?:gnu )?free documentation license", "gfdl", ["1.1", "1.2", "1.3"])]
     for label, long, short, versions in gnu:

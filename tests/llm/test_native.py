@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -128,6 +129,45 @@ def test_license_rules_are_many_and_gated():
         assert re.compile(r["regex"]) and any(x in r["keyword"] or x in r["regex"] for x in license_scan.ROOTS)
 
 
+def a_match(parsed, r):
+    """Some text that a parsed regular expression matches; optional parts are there or not by chance."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "NOT_LITERAL":
+            out += r.choice("aeiou")
+        elif op == "IN":
+            kind, value = r.choice(arg)
+            out += r.choice("aeiou") if str(arg[0][0]) == "NEGATE" else chr(value if str(kind) == "LITERAL" else r.randint(*value))
+        elif op == "BRANCH":
+            out += a_match(r.choice(arg[1]), r)
+        elif op == "SUBPATTERN":
+            out += a_match(arg[3], r)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(a_match(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 3))))
+        else:
+            assert op == "ASSERT", op
+    return out
+
+
+def test_license_matches_pass_the_prefilter():
+    r = random.Random(5)
+    for rule in license_scan.RULES:
+        parsed = re._parser.parse(rule["regex"])
+        for _ in range(60):
+            found = a_match(parsed, r)
+            assert re.fullmatch(rule["regex"].removeprefix("(?<= )").removesuffix("(?= )"), found), found
+            assert rule["keyword"] in found and any(x in found for x in license_scan.ROOTS), (rule["label"], rule["keyword"], found)
+
+
+def test_license_texts_without_common_roots(spark):
+    texts = {"available under the GNU GFDL version 1.3 or later": "gfdl-1.3-or-later", "you may use it under the same terms as Perl itself": "perl", "The Software shall be used for Good, not Evil": "json"}
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
+    assert [g.labels for g in got] == list(texts.values()) and all(g.score > 0.8 for g in got)
+
+
 def test_running_sums(spark):
     d = spark.createDataFrame([([],), ([5],), (list(range(2000)),)], "x array<int>")
     for r in d.select("x", license_scan.running(F.col("x")).alias("s")).collect():
