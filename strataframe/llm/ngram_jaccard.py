@@ -4,9 +4,9 @@
    of exact copies of any size is one row from here on. A MinHash sketch of ``SKETCH`` numbers stands for the set.
 2. Chosen paths: at the root, sketch places are drawn, and texts fall into nodes by (place, number). A node of at most
    ``LIMIT`` texts is compared in full. A larger one is first held against one of its texts, the pivot: texts near it
-   are linked through it, and if few others are left, those are compared with all, in blocks; else the node draws
-   places anew and splits, down to ``DEPTH``, where whatever is left is compared with all, in blocks. So no group is
-   compared in one task beyond its block, and none is dropped. A pair at the threshold follows a common path of one
+   are linked through it, and if few others are left, those are compared with all, in pairs of blocks; else the node
+   draws places anew and splits, down to ``DEPTH``, where whatever is left is compared with all, in pairs of blocks of
+   about ``LIMIT`` texts. So no comparison is larger than two blocks, whatever is left, and none is dropped. A pair at the threshold follows a common path of one
    run with the probability of a branching process; runs are repeated until ``RECALL`` is reached for the deepest
    path, which gives the number of root places.
 3. Nodes emit a star for each set of near texts, not pairs. Connected stars are candidate groups.
@@ -125,12 +125,15 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / a.shape[1]
 
 
-def _near_in_group(keys: list[bytes], s: np.ndarray, left: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Stars of a node or of a block of one; where ``left`` is set on some rows only, pairs hold one of those."""
-    if left.all():
+def _near_in_group(keys: list[bytes], s: np.ndarray, side: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Stars of a node (``side`` 0) or block, or of the pairs across two blocks (sides 1 and 2)."""
+    if not side.any():
         return _stars(keys, _agreement(s, s) >= NEAR)
-    at, near = np.flatnonzero(left), np.zeros((len(keys), len(keys)), dtype=bool)
-    near[at] = _agreement(s[at], s) >= NEAR
+    one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    if not len(one) or not len(two):
+        return []
+    near = np.zeros((len(keys), len(keys)), dtype=bool)
+    near[np.ix_(one, two)] = _agreement(s[one], s[two]) >= NEAR
     return _stars(keys, near | near.T)
 
 
@@ -155,18 +158,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, starts = rows.slice(0, end), starts[starts < end]
         sizes = np.diff(np.r_[starts, end])
         s = rows["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
-        left, keys = rows["left"].to_numpy(), rows["key"].to_pylist()
+        side, keys = rows["side"].to_numpy(), rows["key"].to_pylist()
         out: list[tuple[bytes, bytes]] = []
         two = starts[sizes == 2]
-        near = ((s[two] == s[two + 1]).mean(axis=1) >= NEAR) & (left[two] | left[two + 1])
+        near = ((s[two] == s[two + 1]).mean(axis=1) >= NEAR) & ((side[two] == 0) | (side[two] != side[two + 1]))
         out += [(min(keys[i], keys[i + 1]), max(keys[i], keys[i + 1])) for i in two[near].tolist()]
         for i, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            out += _near_in_group(keys[i : i + n], s[i : i + n], left[i : i + n])
+            out += _near_in_group(keys[i : i + n], s[i : i + n], side[i : i + n])
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
 
 def _compared(groups: DataFrame) -> DataFrame:
-    """Edges of groups (node, block, key, sketch, left), which meet by a shuffle and a sort of sketches."""
+    """Edges of groups (node, block, key, sketch, side), which meet by a shuffle and a sort of sketches."""
     return groups.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_compare, EDGES)
 
 
@@ -184,7 +187,7 @@ def candidates(texts: DataFrame, made: list[DataFrame]) -> DataFrame:
         live = rows.join(counts, "node").join(texts, "key").select("node", "m", "key", "sketch")
         live = cut(live)
         made.append(live)
-        small = live.where(F.col("m") <= LIMIT).select("node", F.lit(0).alias("block"), "key", "sketch", F.lit(True).alias("left"))
+        small = live.where(F.col("m") <= LIMIT).select("node", F.lit(0).cast("long").alias("block"), "key", "sketch", F.lit(0).alias("side"))
         edges = edges.unionByName(_compared(small))
         large = live.where(F.col("m") > LIMIT)
         if large.isEmpty():
@@ -207,11 +210,19 @@ def candidates(texts: DataFrame, made: list[DataFrame]) -> DataFrame:
 
 
 def _in_blocks(held: DataFrame) -> DataFrame:
-    """Blocks of LIMIT texts of each node. Texts still left go to every block, the others to their own."""
-    n = F.ceil(F.col("m") / LIMIT).cast("int")
-    own = F.pmod(F.xxhash64("key"), n).cast("int")
-    to = F.when(F.col("left"), F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))
-    return held.select("node", F.explode(to).alias("block"), "key", "sketch", "left")
+    """Pairs of blocks of about LIMIT texts of each node: those in which a text still left meets another, once each.
+
+    Texts left are dealt to the first blocks, the others to those after them; pairs of two later blocks are not made.
+    """
+    first, n = F.ceil(F.col("u") / LIMIT).cast("int"), F.ceil(F.col("u") / LIMIT).cast("int") + F.ceil((F.col("m") - F.col("u")) / LIMIT).cast("int")
+    draw = F.xxhash64("key")
+    own = F.when(F.col("left"), F.pmod(draw, first)).otherwise(first + F.pmod(draw, n - first)).cast("int")
+    dealt = held.select("node", "key", "sketch", "left", own.alias("own"), first.alias("first"), n.alias("n"))
+    others = F.sequence(F.lit(0), F.when(F.col("left"), F.col("n")).otherwise(F.col("first")) - 1)
+    dealt = dealt.select("node", "key", "sketch", "own", "n", F.explode(others).alias("other"))
+    block = F.least("own", "other").cast("long") * F.col("n") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return dealt.select("node", block.alias("block"), "key", "sketch", side.alias("side"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -298,6 +298,35 @@ def test_jaccard_join(spark, monkeypatch, limit):
     assert got == sorted(brute_join(rows), key=str)
 
 
+def test_texts_left_meet_in_bounded_blocks(spark, monkeypatch):
+    """700 of 1,000 texts left with blocks of 64: each pair with one of them meets once, in a group of two blocks at most."""
+    monkeypatch.setattr(ngram_jaccard, "LIMIT", 64)
+    held = spark.range(1000).select(F.lit(1).cast("long").alias("node"), F.lit(1000).cast("long").alias("m"), F.lit(700).cast("long").alias("u"), F.col("id").cast("string").cast("binary").alias("key"), F.array(F.col("id").cast("int")).alias("sketch"), (F.col("id") >= 300).alias("left"))
+    groups = collections.defaultdict(list)
+    for r in ngram_jaccard._in_blocks(held).collect():
+        groups[r.block].append(r)
+    assert max(map(len, groups.values())) < 3 * 64
+    met = np.zeros((1000, 1000), int)
+    for rows in groups.values():
+        ids, side = np.array([r.sketch[0] for r in rows]), np.array([r.side for r in rows])
+        one, two = (ids, ids) if not side.any() else (ids[side == 1], ids[side == 2])
+        met[np.ix_(one, two)] += 1
+        if side.any():
+            met[np.ix_(two, one)] += 1
+    left = np.arange(1000) >= 300
+    assert (met == (left[:, None] | left[None, :])).all()
+
+
+def test_jaccard_join_at_the_last_depth(spark, monkeypatch):
+    """All texts share half their words and hardly one is near the pivot: what is left is compared in pairs of blocks."""
+    monkeypatch.setattr(ngram_jaccard, "LIMIT", 8)
+    monkeypatch.setattr(ngram_jaccard, "DEPTH", 1)
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{shared} " + " ".join(f"u{i // 2}x{j}" for j in range(60)) + f" own{i}") for i in range(120)]
+    df = ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_jaccard.join(df).collect()) == sorted(brute_join(rows))
+
+
 def test_one_of_each(spark):
     rows = near_copies(9, 3, 5) + [(2, near_copies(9, 3, 5)[2][1])] * 3 + [(None, "alone with no id")]
     df = ship(spark).createDataFrame([(i, t, "de", "s", 1) for i, t in rows], DOCS)
