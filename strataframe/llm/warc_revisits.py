@@ -48,10 +48,11 @@ def _weak(tag: Column) -> Column:
 
 
 def merged_headers(stored: Column, own: Column) -> Column:
-    """The stored headers with the permitted ones of the 304 in place of theirs."""
+    """The stored headers with the permitted ones of the 304 in place of theirs; names are compared in lower case."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    stored, new = F.coalesce(stored, empty), F.map_filter(F.coalesce(own, empty), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
-    return F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    stored, new = F.coalesce(stored, empty), F.map_filter(F.coalesce(own, empty), lambda k, v: F.lower(k).isin(*PERMITTED) & v.isNotNull())
+    names = F.transform(F.map_keys(new), lambda k: F.lower(k))
+    return F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(names, F.lower(k))), new)
 
 
 def resolve(captures: DataFrame, chunks: int = CHUNKS) -> DataFrame:

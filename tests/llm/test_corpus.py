@@ -187,6 +187,12 @@ def test_revisits(spark):
     assert warc_revisits.resolve(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_headers_merge_in_any_case(spark):
+    headers = spark.createDataFrame([({"Date": "1", "ETag": "a", "Content-Type": "t", "vary": "v"}, {"date": "2", "Cache-Control": "c", "content-type": "x", "ETag": None, "VARY": "w"})], "stored map<string,string>, own map<string,string>")
+    got = headers.select(warc_revisits.merged_headers(F.col("stored"), F.col("own"))).first()[0]
+    assert got == {"date": "2", "ETag": "a", "Content-Type": "t", "Cache-Control": "c", "VARY": "w"}
+
+
 # Fingerprints.
 
 
