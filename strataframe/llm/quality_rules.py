@@ -78,7 +78,8 @@ def _repeat_words(words: Column) -> Column:
     """Words that stand in a window of three words which the text holds twice or more.
 
     Forty bits of each window's hash and its place are packed in one number and sorted; neighbours with the same
-    bits are compared word by word, and the words that equal windows cover are counted once.
+    bits are compared word by word, and the words that equal windows cover are counted once. A text in which different
+    windows share the bits is sorted by the windows themselves.
     """
     n = F.size(words)
     place = F.lit((1 << 24) - 1).cast("long")
@@ -97,6 +98,10 @@ def _repeat_words(words: Column) -> Column:
         at = F.transform(again, lambda x: x.bitwiseAND(place).cast("int"))
         return let(at, lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2)))))
 
+    def mixed(w: Column, s: Column) -> Column:
+        """Whether neighbours share the bits but not the words; so do some of any windows that share the bits unless all are equal."""
+        return F.size(F.filter(s, lambda x, k: F.coalesce((F.shiftright(x, 24) == F.shiftright(F.get(s, k + 1), 24)) & ~same(w, x, F.get(s, k + 1)), F.lit(False)))) > 0
+
     def wide(w: Column) -> Column:
         sorted_ = F.sort_array(F.transform(F.slice(w, 1, n - 2), lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))))
 
@@ -106,8 +111,8 @@ def _repeat_words(words: Column) -> Column:
 
         return let(sorted_, count)
 
-    narrow = let(words, lambda w: let(packed(w), lambda s: covered(w, s)))
-    return F.when(n < 4, F.lit(0)).when(n < (1 << 24), narrow).otherwise(wide(words))
+    narrow = let(words, lambda w: let(packed(w), lambda s: F.when(~mixed(w, s), covered(w, s))))
+    return F.when(n < 4, F.lit(0)).otherwise(F.coalesce(F.when(n < (1 << 24), narrow), wide(words)))
 
 
 #: Columns that ``features`` adds.

@@ -49,6 +49,15 @@ def test_quality_wide_path(spark, docs):
     assert sorted(r.a for r in got) == sorted(base_quality(r.text)[4] for r in docs.collect())
 
 
+def test_quality_windows_that_share_hash_bits(spark):
+    """Two windows with the same forty bits whose places interleave: the repeat of the first is found."""
+    one, two = "u v 187094", "u v 1470793"
+    bits = spark.sql("SELECT shiftleft(xxhash64('u', 'v', '187094'), 24) = shiftleft(xxhash64('u', 'v', '1470793'), 24)").first()[0]
+    assert bits
+    words = spark.createDataFrame([(f"{one} a b {two} c d {one}".split(),), (f"{one} a b {two} c d {two}".split(),), (f"{one} a b {two}".split(),)], "w array<string>")
+    assert [r[0] for r in words.coalesce(1).select(quality_rules._repeat_words(F.col("w"))).collect()] == [6, 6, 0]
+
+
 def test_js_distance(spark):
     d = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([0.7, 0.3], [0.4, 0.6])], "p array<double>, q array<double>")
     a, b, c = (r[0] for r in d.select(quality_rules.js_distance(F.col("p"), F.col("q"))).collect())
