@@ -5,14 +5,18 @@ document has a term or not. The machine's score is a bias, a weight for each ter
 each term, a weight for each pair, so that two terms that are harmless alone can be toxic together.
 
 Training takes a bounded sample of labelled rows: the first ``SAMPLE`` / 2 of each class in the order of a hash of
-their ids. Only the sample's terms leave the executors. The ``TERMS`` terms that tell the classes apart most (by a
-chi-squared statistic, in at least ``MIN_DOCS`` documents) are learned by Adam on the logistic loss; the bias is then
-set to the classes' shares among all training labels. Every document is scored on its whole text, on the executors;
-the model is a few hundred kilobytes whatever the input.
+their ids, one row an id. Their terms are a table that stays with the executors, which also count in how many
+documents of each class a term is. The ``TERMS`` terms that tell the classes apart most (by a chi-squared statistic,
+in at least ``MIN_DOCS`` documents) are collected; then each sampled document comes as the numbers of those terms it
+has, two bytes each, so the driver holds at most 2 * ``SAMPLE`` * ``TERMS`` bytes whatever texts or repeats there are.
+It learns by Adam on the logistic loss; the bias is then set to the classes' shares among all training labels. Every
+document is scored on its whole text, on the executors; the model is a few hundred kilobytes.
 
 Edge cases: null and empty texts have no terms and get the bias; without labels of both classes all scores are the
-share of toxic labels (0 without any); an id labelled twice is toxic if any label says so; rows whose label or id is null train
-nothing; repeated rows are scored one by one; an empty table gives an empty result.
+share of toxic labels (0 without any); an id labelled twice is toxic if any label says so; of rows that share a
+labelled id, that of least text hash trains, and each is scored; rows whose label or id is null train nothing;
+repeated rows are scored one by one; a very long text is one set of terms; an empty table gives an empty result;
+columns named as the result's give way to them in ``score``, and ``filter_documents`` returns all columns as they are.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, drop
+
 SAMPLE, TERMS, MIN_DOCS, MIN_CHI = 8_000, 4_096, 4, 12.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 256, 0.05, 1e-4, 7
 FOLDS = 5
@@ -87,27 +93,31 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def select_terms(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The TERMS terms with the largest chi-squared statistic."""
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    ids, place = np.unique(flat, return_inverse=True)
-    label = np.repeat(y, [len(d) for d in docs])
-    n1, n0 = y.sum(), len(y) - y.sum()
-    a, b = np.bincount(place, label, len(ids)), np.bincount(place, 1 - label, len(ids))
-    both = a + b
-    chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / np.maximum(n1 * n0 * both * (n1 + n0 - both), 1e-9)
-    chi[both < MIN_DOCS] = 0
-    best = np.argsort(-chi, kind="stable")[:TERMS]
-    return np.sort(ids[best[chi[best] > MIN_CHI]])
+def chi_squared(ones: Column, docs: Column, n1: int, n0: int) -> Column:
+    """The statistic of a term that ``docs`` documents have, ``ones`` of them toxic, among n1 toxic and n0 other ones."""
+    zeros, n = docs - ones, n1 + n0
+    gap = ones * (n0 - zeros) - zeros * (n1 - ones)
+    return gap * gap * float(n) / F.greatest(F.lit(float(n1) * n0) * docs * (n - docs), F.lit(1e-9))
+
+
+def select_terms(docs: DataFrame) -> np.ndarray:
+    """From (y, terms array<long>): the TERMS terms with the largest chi-squared statistic, sorted."""
+    sizes = docs.agg(F.sum("y"), F.count("*")).first()
+    n1, n = int(sizes[0] or 0), int(sizes[1])
+    if not 0 < n1 < n:
+        return np.zeros(0, np.uint32)
+    counts = docs.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("ones"), F.count("*").cast("double").alias("docs"))
+    told = counts.where(F.col("docs") >= MIN_DOCS).select("term", chi_squared(F.col("ones"), F.col("docs"), n1, n - n1).alias("chi")).where(F.col("chi") > MIN_CHI)
+    return np.sort(np.array([r["term"] for r in told.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()], dtype=np.uint32))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
-    """Train on sorted term arrays and 0/1 labels; ``share`` is the share of ones among all labels."""
+def fit(docs: list[np.ndarray], y: np.ndarray, share: float, ids: np.ndarray | None = None) -> Machine:
+    """Train on sorted term arrays and 0/1 labels, by the terms ``ids`` (all by default); ``share`` is the share of ones among all labels."""
     y = y.astype(np.float64)
     if len(y) == 0 or y.min() == y.max():
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Machine(np.zeros(0, np.uint32), float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
-    ids = select_terms(docs, y)
+    ids = np.unique(np.concatenate(docs)) if ids is None else ids
     rows = [np.flatnonzero(np.isin(ids, d, assume_unique=True)) for d in docs]
     rng = np.random.default_rng(SEED)
     n = len(ids)
@@ -145,15 +155,24 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     total = sum(counts.values())
     order = [F.xxhash64("_id"), F.col("_id")]
     sample = known.where("_y = 1").orderBy(*order).limit(SAMPLE // 2).unionByName(known.where("_y = 0").orderBy(*order).limit(SAMPLE // 2))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
-    found = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    found = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    found = found.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("draw"), "_text")).alias("_first"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["_id"].astype("int64"), "y": b["_y"].astype("int32"), "terms": [terms(t).tobytes() for t in b["_text"]]})
+            yield pd.DataFrame({"id": b["_id"].astype("int64"), "y": b["_y"].astype("int32"), "terms": [terms(t).astype(np.int64) for t in b["_text"]]})
+
+    sampled = cut(found.select("_id", "_y", F.col("_first")["_text"].alias("_text")).mapInPandas(run, "id long, y int, terms array<long>"))
+    ids = select_terms(sampled)
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "rows": [np.flatnonzero(np.isin(ids, np.asarray(t, np.uint32))).astype("<u2").tobytes() for t in b["terms"]]})
 
-    got = found.mapInPandas(run, "id long, y int, terms binary").toPandas().sort_values(["id", "y", "terms"], kind="stable").drop_duplicates("id")
-    return fit([np.frombuffer(t, np.uint32) for t in got["terms"]], got["y"].to_numpy(), counts.get(1, 0) / total if total else 0.0)
+    got = sampled.mapInPandas(numbers, "id long, y int, rows binary").toPandas().sort_values("id", kind="stable")
+    drop(sampled)
+    return fit([ids[np.frombuffer(r, "<u2")] for r in got["rows"]], got["y"].to_numpy(), counts.get(1, 0) / total if total else 0.0, ids)
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text") -> DataFrame:
