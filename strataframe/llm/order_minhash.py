@@ -6,13 +6,17 @@ hashed together; that gives sixteen bits of the fingerprint. Two texts agree in
 k-mers in the same order, so the share of equal slots (``likeness``) falls with edits and with reordering, which plain
 MinHash does not see. Equal texts have equal fingerprints.
 
-``with_next`` pairs each document with the one that follows by descending id without a global window: ids are split
-into ranges at sampled quantiles, each range is sorted and streamed, and the first document of each range also goes to
-the range before, as its last one's successor. No more than ``MAX_RANGES`` range heads ever meet on the driver.
-
-Edge cases: null texts are empty; an empty text has a fixed fingerprint; a text shorter than k is one k-mer; long
-texts are hashed in blocks; null ids come last; equal ids are ordered by a hash of the text and repeated rows follow
-one another; a single document follows itself; an empty table gives an empty result.
+``with_next`` pairs each document with the one that follows by descending id without a global window: rows are
+range-partitioned by (id, hash of the text) into ranges of about ``RANGE_BYTES`` of text, however many that makes, and
+each range is sorted and streamed. Texts are shuffled once. A range can't see the next one, so the last document of
+each waits, with the first, in the table of results; the two or so rows a range are then joined with one another.
+The driver holds one row a range at most; for tens of terabytes give ``range_bytes`` of some hundred megabytes, which
+changes the length of tasks but not their memory.
+
+Edge cases: null texts are empty; an empty text has a fixed fingerprint; a text shorter than k is one k-mer; very long
+texts are hashed in blocks; null ids come last; equal ids are ordered by a hash of the text, and may be split between
+ranges; repeated rows follow one another in one range, streamed; a single document follows itself; an empty table
+gives an empty result; columns named as the result's are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 K, SLOTS, TUPLE = 10, 64, 2
 BLOCK = 4096
-ROWS_PER_RANGE, MAX_RANGES = 20_000, 1024
+ROWS_PER_RANGE, RANGE_BYTES = 20_000, 8_000_000
 SEED = 20_240_601
 
 _rng = np.random.default_rng(SEED)
@@ -96,8 +103,12 @@ def signature(text: str | None) -> np.ndarray:
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
+def to_bytes(sig: np.ndarray) -> bytes:
+    return sig.astype(">u2").tobytes()
+
+
 def to_text(sig: np.ndarray) -> str:
-    return sig.astype(">u2").tobytes().hex()
+    return to_bytes(sig).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -123,42 +134,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _in_ranges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """range, guest, doc_id, draw, text: each range in one place, its successor's first document as a guest."""
-    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    n = min(MAX_RANGES, max(1, -(-docs.count() // ROWS_PER_RANGE)))
-    bounds: list[int] = []
-    if n > 1:
-        found = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0]
-        bounds = sorted(set(found or []), reverse=True)
-    place: Column = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: F.col("doc_id") <= b)) if bounds else F.lit(0)
-    base = base.withColumn("range", F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(place), F.lit(0)).cast("int")).withColumn("draw", F.xxhash64("text"))
-    heads = base.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "draw")).alias("head")).collect()
-    heads = sorted(((h["range"], h["head"]["doc_id"], h["head"]["draw"]) for h in heads), key=lambda h: h[0])
-    to = [(heads[i - 1][0] if i else heads[-1][0], r, i_, d) for i, (r, i_, d) in enumerate(heads)]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(to or [], "to int, from int, head_id long, head_draw long")
-    guests = base.join(F.broadcast(wanted), (F.col("range") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("draw") == F.col("head_draw")))
-    guests = guests.dropDuplicates(["to"]).select(F.col("to").alias("range"), F.lit(1).alias("guest"), "doc_id", "draw", "text")
-    both = base.select("range", F.lit(0).alias("guest"), "doc_id", "draw", "text").unionByName(guests)
-    return both.repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.desc("draw"))
-
-
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+#: Rows of a range's results: pairs, and its first and last document with their texts.
+PAIR, FIRST, LAST = 0, 1, 2
+_RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_PAIRS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (range, guest, doc_id, text, signature) of the row before
-        for b in batches:
-            out = []
-            for r, g, i, t in zip(b["range"], b["guest"], b["doc_id"], b["text"], strict=True):
-                sig = signature(t)
-                if held and held[0] == r and not held[1]:
-                    _, _, own, before, mine = held
-                    changed = edited(before, t)
-                    other = signature(changed)
-                    out.append((own, len(before), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), to_text(mine), to_text(other), likeness(mine, other), likeness(mine, sig)))
-                held = (r, g, i, t, sig)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
-
-    return _in_ranges(docs, doc_id, text).select("range", "guest", "doc_id", "text").mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+def _pair(own: int | None, text: str, following: str, mine: np.ndarray, theirs: np.ndarray) -> tuple:
+    changed = edited(text, following)
+    other = signature(changed)
+    return own, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), to_bytes(mine), to_bytes(other), likeness(mine, other), likeness(mine, theirs)
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A sorted range's pairs, its first and its last document."""
+    part, held = TaskContext.get().partitionId(), None
+    nothing = (None,) * (len(_RESULT) - 1)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["kind", "part", *_RESULT, "text"]).astype({"doc_id": "Int64", "n_chars": "Int64"})
+
+    for b in batches:
+        out = []
+        for i, t in zip(b["doc_id"], b["text"], strict=True):
+            sig = signature(t)
+            out.append((PAIR, part, *_pair(held[0], held[1], t, held[2], sig), None) if held else (FIRST, part, i, *nothing, t))
+            held = (i, t, sig)
+        yield frame(out)
+    if held:
+        yield frame([(LAST, part, held[0], *nothing, held[1])])
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of the last document of a range and the first of the next."""
+    for b in batches:
+        rows = [_pair(i, t, f, signature(t), signature(f)) for i, t, f in zip(b["doc_id"], b["text"], b["following"], strict=True)]
+        yield pd.DataFrame(rows, columns=_RESULT).astype({"doc_id": "Int64"})
+
+
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows, size = base.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(1, -(-rows // ROWS_PER_RANGE), -(-(size or 0) // (range_bytes or RANGE_BYTES)))
+    order = [F.desc_nulls_last("doc_id"), F.desc("draw")]
+    ranged = base.withColumn("draw", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    done = cut(ranged.select("doc_id", "text").mapInPandas(_streamed, f"kind int, part int, {_PAIRS}, text string"))
+    firsts, lasts = (done.where(F.col("kind") == k).select("part", "doc_id", "text") for k in (FIRST, LAST))
+    in_turn = Window.partitionBy(F.lit(0)).orderBy("part")
+    turns = firsts.select("part", F.coalesce(F.lead("part").over(in_turn), F.first("part").over(in_turn)).alias("next"))
+    met = lasts.join(turns, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
+    pairs = done.where(F.col("kind") == PAIR).select(*_RESULT).unionByName(met.select("doc_id", "text", "following").mapInPandas(_across, _PAIRS))
+    shown = {c: F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return pairs.select(*[shown.get(c, F.col(c)) for c in _RESULT])
