@@ -1,23 +1,25 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Documents are tokenized where they are read, an end token is added, and only those longer than the capacity are cut:
-full pieces, after a first one of what is left over. Pieces (a few numbers each) are dealt by hash into shards, so
-that no document, source or group of copies makes a hot one. Within a shard, full pieces stand alone, the others go
-best fit, largest first; then bins with room are improved. The emptiest bin gives its pieces away: a piece moves to
+full pieces, after a first one of what is left over. Pieces (a few numbers each) are written as a table, so that a task
+that runs again deals them alike. Full pieces are sequences as they are and never meet; the others are dealt by hash of
+what they are and of their number in their task into shards of about ``PIECES_PER_SHARD``, so that no document, source
+or group of copies or repeated rows makes a hot one. Within a shard pieces go best fit, largest first: each to the bin
+with the least room that holds it; then bins with room are improved. The emptiest bin gives its pieces away: a piece moves to
 the fullest bin with room for it, or changes places with one smaller piece, or with two, of a fuller bin. Each step
 makes the sum of squared fills grow, so it ends; a bin that has given all away is gone. Bins with room are held by
 what they may give back and by fill, so a step looks at sizes, not at bins, and the search runs until no step is left.
 
-``shards`` follows the number of documents; a shard is some hundred thousand small numbers in one task.
-
-Edge cases: a null text is empty and is its end token alone; texts of any length; repeated rows are packed one by
-one; an empty table gives an empty result; equally named columns of the input give way to the result's.
+Edge cases: a null text is empty and is its end token alone; texts of any length, also of millions of spaces (which
+the tokenizers library encodes, see ``LONG_SPACE``); repeated rows are packed one by one; ties of length go by id,
+piece and content; an empty table gives an empty result; equally named columns of the input give way to the result's.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CAPACITY, END = 1024, 2
-DOCS_PER_SHARD = 32_768
+PIECES_PER_SHARD = 32_768
+#: A run of white space from which on a text is encoded by the tokenizers library, as tiktoken's pattern engine runs
+#: out of stack on a run of a million. The ids are the same.
+LONG_SPACE = 65_536
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 #: The word pattern of byte-level BPE files whose pre-tokenizer is ByteLevel.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,20 +61,32 @@ def encoder(path: str):
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
         ordinary = {k: v for k, v in model["vocab"].items() if k not in special} if model["type"] == "BPE" else {}
         plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer") and sorted(ordinary.values()) == list(range(len(ordinary)))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        whole: list = []
+
+        def library(text: str) -> list[int]:
+            from tokenizers import Tokenizer
+
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            return whole[0].encode(text, add_special_tokens=False).ids
+
         if plain:
             import tiktoken
 
             of = _byte_of()
             ranks = {bytes(of[c] for c in k): v for k, v in ordinary.items()}
             made = tiktoken.Encoding("bpe", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
-            names = set(special)
-            _encoders[path] = lambda text: made.encode(text, allowed_special=names, disallowed_special=()) if any(n in text for n in names) else made.encode_ordinary(text)
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+            names, long_space = set(special), re.compile(rf"\s{{{LONG_SPACE}}}")
+
+            def fast(text: str) -> list[int]:
+                if len(text) >= LONG_SPACE and long_space.search(text):
+                    return library(text)
+                return made.encode(text, allowed_special=names, disallowed_special=()) if any(n in text for n in names) else made.encode_ordinary(text)
 
-            whole = Tokenizer.from_file(path)
-            _encoders[path] = lambda text: whole.encode(text, add_special_tokens=False).ids
+            _encoders[path] = fast
+        else:
+            _encoders[path] = library
     return _encoders[path]
 
 
@@ -80,7 +99,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit). salt numbers the pieces of a task."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
         salt = 0
         for batch in batches:
@@ -96,27 +115,34 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", *["ids"] * with_ids]).astype({"doc_id": "Int64"})
 
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return narrow.mapInPandas(cut, PIECES + ", ids binary" * with_ids)
+    return narrow.mapInPandas(encoded, PIECES + ", ids binary" * with_ids)
 
 
 def fill_bins(lengths: np.ndarray, capacity: int = CAPACITY, steps: int | None = None) -> list[list[int]]:
     """Item numbers by bin: best fit, largest first, then local search. Deterministic."""
-    bins: list[list[int]] = [[int(i)] for i in np.flatnonzero(lengths >= capacity)]
-    stacks: dict[int, list[int]] = {}
-    for i in np.flatnonzero(lengths < capacity)[::-1]:
-        stacks.setdefault(int(lengths[i]), []).append(int(i))
-    there = sum(1 << k for k in stacks)
-    open_bins: list[list[int]] = []
-    while there:
-        room, own = capacity, []
-        while room and (fits := there & ((1 << (room + 1)) - 1)):
-            k = fits.bit_length() - 1
-            own.append(stacks[k].pop())
-            if not stacks[k]:
-                there ^= 1 << k
-            room -= k
-        (bins if not room else open_bins).append(own)
-    return bins + improve(open_bins, lengths, capacity, steps)
+    bins: list[list[int]] = []
+    room: list[int] = []
+    by_room: dict[int, list[int]] = {}
+    there = 0
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        k = int(lengths[i])
+        fits = there >> k
+        if fits:
+            left = k + (fits & -fits).bit_length() - 1
+            b = by_room[left].pop()
+            if not by_room[left]:
+                there ^= 1 << left
+            bins[b].append(i)
+        else:
+            left, b = max(capacity, k), len(bins)
+            bins.append([i])
+            room.append(0)
+        room[b] = left - k
+        if room[b]:
+            by_room.setdefault(room[b], []).append(b)
+            there |= 1 << room[b]
+    full = [own for own, r in zip(bins, room, strict=True) if not r]
+    return full + improve([own for own, r in zip(bins, room, strict=True) if r], lengths, capacity, steps)
 
 
 class _Takers:
@@ -218,7 +244,7 @@ def _of_sum(s: int, items: list[int], size: dict[int, int]) -> list[int]:
 
 
 def pack(parts: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` with sequence_id and offset. A sequence's number holds its shard's."""
+    """``parts`` with sequence_id and offset. A sequence's number holds its shard's; those of full pieces are below 0. ``parts`` must be a table."""
 
     def bins(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32", "salt"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
@@ -231,16 +257,18 @@ def pack(parts: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
                 at += int(lengths[i])
         return pdf.assign(sequence_id=seq, offset=off).drop(columns=["salt", "shard"])
 
-    made = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(shards)).cast("int"))
+    made = parts.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(shards)).cast("int"))
     kept = [f for f in made.schema.fields if f.name not in ("salt", "shard")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
-    return made.groupBy("shard").applyInPandas(bins, schema)
+    alone = parts.where(F.col("length") >= capacity).select(*[f.name for f in kept], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return made.groupBy("shard").applyInPandas(bins, schema).unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and place: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    shards = max(1, -(-docs.count() // DOCS_PER_SHARD))
-    return pack(pieces(docs, tokenizer, doc_id, text, capacity, with_ids), shards, capacity)
+    parts = cut(pieces(docs, tokenizer, doc_id, text, capacity, with_ids))
+    short = parts.where(F.col("length") < capacity).count()
+    return pack(parts, max(1, -(-short // PIECES_PER_SHARD)), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
