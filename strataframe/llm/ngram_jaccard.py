@@ -12,7 +12,9 @@
 3. Nodes emit a star for each set of near texts, not pairs. Connected stars are candidate groups.
 4. Exact check: texts of a candidate group meet with their full sets, in blocks of bounded texts and shingles (pairs of
    blocks for large groups); intersections are matrix products over shared shingles. This counts every link of the
-   group, also those that no path found, and links that hold give the classes.
+   group, also those that no path found, and links that hold give the classes. A group larger than a block is first
+   split by classes of size: sets at the threshold differ in size by 1 / ``THRESHOLD`` at most, so only blocks of one class or
+   of neighbouring ones meet, and texts that shared passages have chained into one group are mostly kept apart.
 
 Everything kept on the way is a table in the shared folder; labels, links and sketches never meet on the driver.
 
@@ -21,7 +23,8 @@ copies included), n_text_links (different texts among them) and n_copies (docume
 
 Edge cases: texts of one to four words are one shingle; null texts are empty, and texts without words are copies of
 each other; null ids stay documents of their own, and a class of such alone has a null class_id; equal ids with
-different texts are different documents; an empty table gives an empty result.
+different texts are different documents, repeated rows are copies of one another; a very long text is one set, dealt
+to blocks by its shingles; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -225,9 +228,18 @@ def _in_blocks(held: DataFrame) -> DataFrame:
     return dealt.select("node", block.alias("block"), "key", "sketch", side.alias("side"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(key, label): each text of the edges and the least key connected with it. Alternating stars, each round a table."""
+def components(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(key, label): each text of the edges and the least key connected with it. Alternating stars, each round a table.
+
+    A round that leaves number, sum and exclusive or of the edges' hashes as they were is the last.
+    """
+
+    def state(df: DataFrame) -> tuple:
+        draw = F.xxhash64("u", "v")
+        return tuple(df.agg(F.count("*"), F.sum(draw.cast("decimal(38,0)")), F.bit_xor(draw)).first())
+
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    before = state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("w"))
@@ -236,17 +248,18 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.where("v != w").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(low.select("u", F.col("w").alias("v"))).where("u != v").distinct()
         after = cut(small)
-        same = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
         drop(now)
-        now = after
-        if same:
+        now, held = after, state(after)
+        if held == before:
             break
+        before = held
+    made.append(now)
     return now.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
 
 
 def _links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Exact links of a block, or across two blocks: counts by text, and stars of the links."""
-    _, i, j = key
+    _, _, i, j = key
     pdf = pdf.drop_duplicates("key").reset_index(drop=True)
     sets = [np.frombuffer(s, np.uint64) for s in pdf["found"]]
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
@@ -266,7 +279,7 @@ def _links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     linked = both >= THRESHOLD * union - 1e-6
     linked[np.arange(n), np.arange(n)] = False
     if i != j:
-        block = pdf["block"].to_numpy()
+        block = pdf["place"].to_numpy()
         linked &= block[:, None] != block[None, :]
     copies, keys = pdf["n_copies"].to_numpy(np.int64), list(pdf["key"])
     out = pd.DataFrame({"key": keys, "texts": linked.sum(1), "docs": (linked * copies[None, :]).sum(1), "a": None})
@@ -275,26 +288,48 @@ def _links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame({"key": [b for _, b in stars], "texts": 0, "docs": 0, "a": [a for a, _ in stars]})]).astype({"texts": "int64", "docs": "int64"})
 
 
+#: Of a text to check: its class of size, the blocks of that class, and of those above and below.
+PLAN = ["size", "blocks", "above", "below"]
+
+
 def _checked(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
     """(key, texts, docs, a): partial link counts, and star edges where ``a`` is set, of all candidate groups."""
     members = groups.join(texts.select("key", "unknown", "rid", "draw", "n_copies", "n_shingles"), "key")
-    sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
-    sizes = sizes.where("m > 1").select("label", F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "label").select("unknown", "rid", "draw", F.col("key").alias("wanted"), "label", "n_copies", "blocks")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    wholes = members.groupBy("label").agg(F.count("*").alias("m"), blocks.alias("all_blocks")).where("m > 1").drop("m")
+    size = F.when(F.col("all_blocks") > 1, F.floor(F.log("n_shingles") / F.lit(math.log(1 / THRESHOLD + 1e-7)))).otherwise(0).cast("int")
+    members = members.join(wholes, "label").withColumn("size", size)
+    here = members.groupBy("label", "size").agg(blocks.alias("blocks"))
+    above = here.select("label", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above"))
+    below = here.select("label", (F.col("size") + 1).alias("size"), F.col("blocks").alias("below"))
+    here = here.join(above, ["label", "size"], "left").join(below, ["label", "size"], "left").na.fill(0, ["above", "below"])
+    plan = F.struct("size", "blocks", "above", "below")
+    members = members.join(here, ["label", "size"]).select("unknown", "rid", "draw", F.col("key").alias("wanted"), "label", "n_copies", plan.alias("plan"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [shingles(t) for t in b["text"]]
             b = b.assign(key=[key_of(s) for s in found], found=[s.tobytes() for s in found])
-            yield b[b["key"] == b["wanted"]][["key", "label", "n_copies", "blocks", "found"]]
+            yield b[b["key"] == b["wanted"]][["key", "label", "n_copies", *PLAN, "found"]]
 
-    found = docs.join(members.hint("shuffle_hash"), ["unknown", "rid", "draw"]).select("text", "wanted", "label", "n_copies", "blocks")
-    found = found.mapInPandas(sets, "key binary, label binary, n_copies long, blocks int, found binary")
+    found = docs.join(members.hint("shuffle_hash"), ["unknown", "rid", "draw"]).select("text", "wanted", "label", "n_copies", *[F.col("plan")[c].alias(c) for c in PLAN])
+    found = found.mapInPandas(sets, f"key binary, label binary, n_copies long, {', '.join(f'{c} int' for c in PLAN)}, found binary")
     own: Column = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    found = found.withColumn("block", own)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = found.select("label", "key", "n_copies", "block", "found", F.explode(pairs).alias("p")).select("label", F.col("p")["i"].alias("i"), F.col("p")["j"].alias("j"), "key", "n_copies", "block", "found")
-    return dealt.groupBy("label", "i", "j").applyInPandas(_links, "key binary, texts long, docs long, a binary")
+
+    def meet(low: Column, i: Column, j: Column) -> Column:
+        """Classes (low, low) or (low, low + 1) and the blocks that meet; ``i`` below ``j`` marks two blocks of one class."""
+        return F.struct(low.alias("low"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    def each(n: Column, body) -> Column:
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), body)
+
+    n, block, size = F.col("blocks"), F.col("block"), F.col("size")
+    within = each(n, lambda x: meet(size, F.least(x, block), F.greatest(x, block)))
+    up = each(F.col("above"), lambda x: meet(size, -1 - block, x))
+    down = each(F.col("below"), lambda x: meet(size - 1, -1 - x, block))
+    dealt = found.withColumn("block", own).select("label", "key", "n_copies", F.concat_ws(":", "size", "block").alias("place"), "found", F.explode(F.concat(within, up, down)).alias("p"))
+    dealt = dealt.select("label", F.col("p")["low"].alias("low"), F.col("p")["i"].alias("i"), F.col("p")["j"].alias("j"), "key", "n_copies", "place", "found")
+    return dealt.groupBy("label", "low", "i", "j").applyInPandas(_links, "key binary, texts long, docs long, a binary")
 
 
 def _identity(doc_id: str, text: str) -> list[Column]:
@@ -316,11 +351,11 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     own = F.struct("unknown", "rid", "draw")
     texts = rows.groupBy("key").agg(F.min(own).alias("rep"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     texts = cut(texts.select("key", "rep.*", "n_copies", "n_shingles", "sketch"))
-    groups = cut(components(candidates(texts.where("n_shingles > 0").select("key", "sketch"), made)))
+    groups = cut(components(candidates(texts.where("n_shingles > 0").select("key", "sketch"), made), made))
     for d in made:
         drop(d)
     checked = cut(_checked(base, texts, groups))
-    classes = components(checked.where(F.col("a").isNotNull()).select("a", F.col("key").alias("b")))
+    classes = components(checked.where(F.col("a").isNotNull()).select("a", F.col("key").alias("b")), [])
     counts = checked.where(F.col("a").isNull()).groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     links = (F.coalesce("docs", F.lit(0)) + F.col("n_copies") - 1).cast("long")
     whole = texts.join(classes, "key", "left").join(counts, "key", "left").select("key", F.coalesce("label", "key").alias("label"), own.alias("own"), "n_copies", F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), links.alias("n_links"))
