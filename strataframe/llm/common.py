@@ -21,9 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with at least as many partitions as there are cores, where it is read from fewer files of one split each.
+
+    For operators that work long on a row. Inputs of many or large files have their splits and stay as they are.
+    """
+    spark = df.sparkSession
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen() > split:
+            return df
+    return df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="strataframe-"))
 
 
@@ -61,19 +80,6 @@ def _clean() -> None:
             return
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names for helper columns that clash with no column of ``df``."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        k = f"_{n}"
-        while k.lower() in taken:
-            k = f"_{k}"
-        taken.add(k.lower())
-        out.append(k)
-    return out
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once a row, also where lambdas of ``body`` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,18 +5,21 @@ earlier response with status 200 for the same canonical url. ``resolve`` finds t
 compares validators (the entity tag by weak comparison; without tags on both sides the last-modified time) and, where they
 agree, merges headers: of the 304's own headers only those that a 304 may update replace the stored ones.
 
-The join is two window passes over narrow rows. A url's captures are cut into ``chunks`` by time; within a chunk the
-latest response so far is a running value, and the last one of each chunk is carried into the later chunks by a
-second pass over one small row for each url and chunk. So a url with most of the captures is many window partitions,
-not one. Payloads don't travel: the result names the record referred to.
+The join is two window passes over narrow rows. All captures are cut into chunks at quantiles of their times, about
+``ROWS_PER_CHUNK`` in each and ``CHUNKS`` at least; within a chunk a url's latest response so far is a running value, and
+the last one of each chunk is carried into the later chunks by a second pass over one small row for each url and chunk.
+So a url with most of the captures is many window partitions, not one, however its times lie (captures of one tick stay
+together). Records without url are dealt by a hash of their ids and meet nothing. Payloads don't travel: the result
+names the record referred to.
 
 Outcomes: ``response`` (a full response), ``resolved``, ``stale`` (validators differ), ``unverified`` (a validator is
 missing on one side), ``orphan`` (no earlier response). Rows at one time: responses come before revisits, then by
 record id.
 
 Edge cases: null urls have no canonical url and their revisits are orphans; null times come first; null headers
-are empty; repeated rows are resolved one by one; an empty table gives an empty result; equally named columns are
-replaced.
+are empty; header names of any case are one name; very long urls are keys as they are; repeated rows are resolved one
+by one; an empty table gives an empty result; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 #: Headers of a 304 that update the stored response; all others of the stored response stay.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-CHUNKS = 64
+CHUNKS, ROWS_PER_CHUNK = 64, 1_000_000
 TRACKING = r"(utm_[a-z]+|ref|gclid|fbclid)=[^&]*"
 
 
@@ -55,23 +58,41 @@ def merged_headers(stored: Column, own: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(names, F.lower(k))), new)
 
 
+def chunk_bounds(captures: DataFrame, chunks: int) -> list[int]:
+    """Ascending times that cut all captures into about equal parts: ``chunks``, or more beyond ROWS_PER_CHUNK each."""
+    n = max(chunks, -(-captures.count() // ROWS_PER_CHUNK))
+    if n < 2:
+        return []
+    found = captures.agg(F.percentile_approx("time", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
+    return sorted(set(found or []))
+
+
+def chunk_of(time: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` lie at or before ``time``, by binary search; -1 without a time."""
+    if not bounds:
+        return F.when(time.isNull(), -1).otherwise(0)
+    listed = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= time, at + step).otherwise(at))
+    return F.when(time.isNull(), -1).otherwise(place)
+
+
 def resolve(captures: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """From (record_id, url, time long, kind 'response' or 'revisit', status, etag, last_modified, headers map): record_id, canonical, outcome, refers_to, age, headers."""
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    rows = captures.select("record_id", canonical_url(F.col("url")).alias("canonical"), "time", full.alias("full"), "etag", "last_modified", "headers")
-    first, latest = captures.agg(F.min("time"), F.max("time")).first()
-    width = max(1, -(-((latest or 0) - (first or 0) + 1) // chunks))
-    rows = rows.withColumn("chunk", F.coalesce(F.floor((F.col("time") - (first or 0)) / width), F.lit(-1)).cast("int"))
+    rows = captures.select("record_id", canonical_url(F.col("url")).alias("canonical"), "time", F.coalesce(full, F.lit(False)).alias("full"), "etag", "last_modified", "headers")
+    alone = F.concat(F.lit("~"), F.pmod(F.xxhash64("record_id"), F.lit(1 << 20)).cast("string"))
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "canonical"), alone)).withColumn("chunk", chunk_of(F.col("time"), chunk_bounds(captures, chunks)))
     held = F.struct("record_id", "time", "etag", "last_modified", "headers")
     order = [F.asc_nulls_first("time"), F.desc("full"), F.asc_nulls_first("record_id")]
-    so_far = Window.partitionBy("canonical", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    key = F.struct(F.coalesce("time", F.lit(-(1 << 62))), "record_id")
-    last = rows.where(F.col("full") & F.col("canonical").isNotNull()).groupBy("canonical", "chunk").agg(F.max_by(held, key).alias("own_last"))
-    marks = rows.where(F.col("canonical").isNotNull()).select("canonical", "chunk").distinct().join(last, ["canonical", "chunk"], "left")
-    earlier = Window.partitionBy("canonical").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.select("canonical", "chunk", F.last("own_last", ignorenulls=True).over(earlier).alias("carried"))
+    so_far = Window.partitionBy("key", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    order_of = F.struct(F.coalesce("time", F.lit(-(1 << 62))), "record_id")
+    known = rows.where(F.col("canonical").isNotNull())
+    marks = known.groupBy("key", "chunk").agg(F.max_by(F.when(F.col("full"), held), F.when(F.col("full"), order_of)).alias("own_last"))
+    earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select("key", "chunk", F.last("own_last", ignorenulls=True).over(earlier).alias("carried"))
     here = F.last(F.when(F.col("full"), held), ignorenulls=True).over(so_far)
-    got = rows.withColumn("here", here).join(marks, ["canonical", "chunk"], "left").withColumn("found", F.when(F.col("canonical").isNotNull(), F.coalesce("here", "carried")))
+    got = rows.withColumn("here", here).join(marks, ["key", "chunk"], "left").withColumn("found", F.when(F.col("canonical").isNotNull(), F.coalesce("here", "carried")))
     f = F.col("found")
     tags = _weak(F.col("etag")) == _weak(f["etag"])
     agreed = F.when(F.col("etag").isNotNull() & f["etag"].isNotNull(), tags).otherwise(F.col("last_modified") == f["last_modified"])
@@ -101,11 +122,11 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     modified = F.concat(F.lit("day "), F.floor(F.col("page_id") / 10).cast("string"))
     response = base.select(
         (F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 4).alias("time"), F.lit("response").alias("kind"), F.lit(200).alias("status"), F.col("tag").alias("etag"), modified.alias("last_modified"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), F.col("tag"), F.lit("date"), (F.col("page_id") * 4).cast("string")).alias("headers"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.col("tag"), F.lit("Date"), (F.col("page_id") * 4).cast("string")).alias("headers"),
     )
     tag = F.when(F.col("digit") % 8 == 0, F.lit('"changed"')).when(F.col("digit") % 8 != 1, F.concat(F.lit("W/"), F.col("tag")))
     revisit = base.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 4 + 1 + F.col("digit")).alias("time"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), tag.alias("etag"), F.when(F.col("digit") % 16 != 1, modified).alias("last_modified"),
-        F.create_map(F.lit("date"), (F.col("page_id") * 4 + 1 + F.col("digit")).cast("string"), F.lit("content-type"), F.lit("text/plain"), F.lit("cache-control"), F.concat(F.lit("max-age="), F.col("digit").cast("string"))).alias("headers"),
+        F.create_map(F.lit("date"), (F.col("page_id") * 4 + 1 + F.col("digit")).cast("string"), F.lit("Content-Type"), F.lit("text/plain"), F.lit("Cache-Control"), F.concat(F.lit("max-age="), F.col("digit").cast("string"))).alias("headers"),
     )
     return response.unionByName(revisit)
