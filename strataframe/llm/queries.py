@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import best_fit_packing, chat_format, license_scan, mix_sources, ngram_jaccard, order_minhash, quality_rules, toxicity, url_filters, warc_revisits
-from .common import table
+from .common import spread, table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: counts of words, symbols, repeated lines and words, distances from the language's references, verdict."""
-    return quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return quality_rules.judge(spread(table(spark, sf_dir, "documents")), keep=["doc_id"])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +27,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenized and packed into sequences of 1024 tokens: one row a piece."""
     ship(spark)
-    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), best_fit_packing.tokenizer_file())
+    return best_fit_packing.pack_documents(spread(table(spark, sf_dir, "documents")), best_fit_packing.tokenizer_file())
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: places of the base phrases, labels of all rules, score."""
-    return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return license_scan.scan(spread(table(spark, sf_dir, "documents")), keep=["doc_id"])
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: class of five-word shingle similarity 0.8 or more, and numbers of links."""
-    return ngram_jaccard.join(table(ship(spark), sf_dir, "documents"))
+    return ngram_jaccard.join(spread(table(ship(spark), sf_dir, "documents")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: fold, score and prediction of a factorization machine trained on the labels outside the fold."""
-    return toxicity.scored_documents(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scored_documents(spread(table(ship(spark), sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +151,8 @@ WITH p AS (
   SELECT *, CASE WHEN fulls THEN 'response' WHEN f_id IS NULL THEN 'orphan' WHEN agreed THEN 'resolved' WHEN NOT agreed THEN 'stale' ELSE 'unverified' END AS outcome FROM o
 )
 SELECT record_id, canonical, outcome, f_id AS refers_to, time - f_time AS age,
-  CASE WHEN fulls THEN 'content-type: text/html' || chr(10) || 'date: ' || CAST(time AS VARCHAR) || chr(10) || 'etag: ' || tag
-    WHEN outcome = 'resolved' THEN 'cache-control: max-age=' || CAST(digit AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || CAST(time AS VARCHAR) || chr(10) || 'etag: ' || f_etag END AS headers
+  CASE WHEN fulls THEN 'Content-Type: text/html' || chr(10) || 'Date: ' || CAST(time AS VARCHAR) || chr(10) || 'ETag: ' || tag
+    WHEN outcome = 'resolved' THEN 'Cache-Control: max-age=' || CAST(digit AS VARCHAR) || chr(10) || 'Content-Type: text/html' || chr(10) || 'ETag: ' || f_etag || chr(10) || 'date: ' || CAST(time AS VARCHAR) END AS headers
 FROM z
 """,
     "op6_chat_format": r"""
