@@ -3,11 +3,13 @@
 A url's expressions are each suffix of its host (by labels) with each prefix of its path (of the lengths that rules
 have). Their SHA-256 digests meet the rules' on the first eight hex digits, the full digest confirms a hit, and
 the longest rule of those that fit wins. Both sides are narrow; equal (host, path) pairs are judged once, merged on
-the map side, so a host or url with most of the rows does not make a hot key. Rules are broadcast only when a count
+the map side, and the pairs that some rule fits go back to their rows in ``SALTS`` copies, each to a share of the rows,
+so a host or url with most of the rows does not make a hot key. Rules are broadcast only when a count
 shows at most ``BROADCAST_RULES``; above that the same join shuffles.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; ties of
-length go to the longer host, then to block; repeated rows are each judged; empty tables give empty results; other
+length go to the longer host, then to block; a very long host or path is tried with the rules' numbers of labels and
+lengths only; repeated rows are each judged; empty tables give empty results; other
 columns stay out of the result unless named in ``keep``.
 """
 
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 100_000
+SALTS = 16
 SHORT = 8
 
 #: The rules that bind first: verdict, host, path.
@@ -88,7 +91,9 @@ def judge(urls: DataFrame, rules: DataFrame, keep: list[str], url: str = "url")
     if best is None:
         out = judged.select("*", F.lit(None).cast("struct<rule:string,verdict:string>").alias("first"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("second"))
     else:
-        out = judged.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+        best = best.withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        salted = judged.withColumn("salt", F.pmod(F.xxhash64("keep"), F.lit(SALTS)).cast("int"))
+        out = salted.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")) & (F.col("salt") == F.col("s")), "left")
     names = {"host", "path", "rule", "own_rule", "verdict"}
     return out.select(
         *[F.col("keep")[c].alias(c) for c in keep if c.lower() not in names],
