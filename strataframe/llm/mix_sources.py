@@ -9,12 +9,14 @@ inverting the demand gives its training position. ``by_position`` range-sorts do
 
 A source may hold any share of the rows: each is dealt by hash into ``BUCKETS`` parts, part sums are merged on the
 map side, and words before a document are those of the parts before its own (one small row a part) and those before
-it within the part. Only the columns to keep travel. The targets are worked out on one row a source.
+it within the part. Only the columns to keep travel. The targets are worked out in one task on one small row a source, so the
+source must be a column of up to some millions of values, such as a crawl, a site or a kind of text.
 
 The document at a target's end is taken up to the target's word, so what a source gives is its target, rounded.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a source, last in order; null ids and ties
-of the hash are ordered by id and size; repeated rows are documents of their own; with no words at all all targets
+of the hash are ordered by id, size and a hash of the text; repeated rows are documents of their own; a very long text
+is a size like others; with no words at all all targets
 are 0; an empty table gives an empty result; equally named columns give way to the result's.
 """
 
@@ -83,14 +85,14 @@ def position(demand: Column, target: Column, k: Column, schedules=SCHEDULES) ->
 def mix(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", schedules=SCHEDULES, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Columns ``keep`` of ``docs`` with size, source_size, target, taken, position (of the first copy), positions."""
     draw = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), draw.alias("draw"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), draw.alias("draw"))
     base = base.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("bucket", F.substr("draw", F.lit(1), F.lit(3)))
     parts = base.groupBy("key", "source", "bucket").agg(F.sum("size").alias("part"))
     plan = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), schedules, share, max_repeats)
     plan = plan.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "k", "target")
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("key", "bucket", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("before")).join(plan, "key")
-    within = Window.partitionBy("key", "bucket").orderBy("draw", F.asc_nulls_first("id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("draw", F.asc_nulls_first("id"), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     out = base.join(parts, ["key", "bucket"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     budget = F.round("target").cast("long")
     copies = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: F.struct((F.col("start") + e * F.col("source_size")).alias("at")))
