@@ -5,13 +5,17 @@ compared to the language's reference (the mean histogram of all documents of tha
 keep, the far ones left out in a second pass) by the Jensen-Shannon distance. A document goes when the base rules fail it, or when a distance is over its
 limit and the document is long enough for that histogram to mean something (the minimum-length guards).
 
+References are learned from the documents that are judged, or given: ``learn_references`` makes the table of a trusted
+corpus once, and with it a verdict depends on the document alone.
+
 Only DataFrame functions run. The references are one row for each language of ``COMMON_WORDS`` and one for all
 other languages, five rows at most, so they are broadcast. No text is shuffled; the features are written once,
-with the columns to return, so that references and verdicts don't scan the texts twice.
+with the columns to return, so that references and verdicts don't scan the texts twice. With references given nothing is written.
 
 Edge cases: a null or empty text has no words, all counts are 0 and it fails the base rules; null or unknown
 languages share one reference and have no common words; an empty table gives an empty result; repeated rows are
-judged one by one; other columns of the input are ignored, or returned as they are by ``filter_documents``.
+judged one by one; very long texts are counted whole (windows of more than 2^24 words by the words themselves, with the
+same result); other columns of the input are ignored, or returned as they are by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -193,25 +197,36 @@ def references(found: DataFrame, min_chars: int) -> DataFrame:
     return _means(near.where((F.col("class_distance") <= F.col("cut_c")) & F.coalesce(F.col("word_distance") <= F.col("cut_w"), F.lit(True))))
 
 
-def _judged(docs: DataFrame, keep: list[str], text: str, lang: str, limits: dict | None) -> DataFrame:
-    """The features are worked out once and written: the references and the verdicts both read them."""
+def _packed(docs: DataFrame, keep: list[str], text: str, lang: str) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+
+
+def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", limits: dict | None = None) -> DataFrame:
+    """The references of a corpus, to be written and given to later runs: ref_language, ref_classes, ref_common; five rows at most."""
+    return references(cut(features(_packed(docs, [text], text, lang)).drop("keep")), (LIMITS | (limits or {}))["min_chars"])
+
+
+def _judged(docs: DataFrame, keep: list[str], text: str, lang: str, limits: dict | None, refs: DataFrame | None = None) -> DataFrame:
+    """Without references given, the features are worked out once and written: the references and the verdicts both read them."""
     limits = LIMITS | (limits or {})
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    found = cut(features(packed))
-    got = _with_distances(found, references(found, limits["min_chars"]))
+    found = features(_packed(docs, keep, text, lang))
+    if refs is None:
+        found = cut(found)
+        refs = references(found, limits["min_chars"])
+    got = _with_distances(found, refs)
     far = (F.col("n_chars") >= limits["min_chars"]) & (F.coalesce("class_distance", F.lit(0.0)) > limits["class_distance"])
     far = far | (F.col("n_words") >= limits["min_words"]) & (F.coalesce("word_distance", F.lit(0.0)) > limits["word_distance"])
     failed = _base_failed()
     return got.select("*", failed.alias("base_failed"), F.when(failed, False).otherwise(~far).alias("kept"))
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", limits: dict | None = None) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", limits: dict | None = None, refs: DataFrame | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) with those of VERDICT, to which equally named ones give way."""
     keep = docs.columns if keep is None else keep
-    got = _judged(docs, keep, text, lang, limits)
+    got = _judged(docs, keep, text, lang, limits, refs)
     return got.select(*[F.col("keep")[c].alias(c) for c in keep if c.lower() not in VERDICT], *VERDICT)
 
 
-def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", limits: dict | None = None) -> DataFrame:
+def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", limits: dict | None = None, refs: DataFrame | None = None) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
-    return _judged(docs, docs.columns, text, lang, limits).where("kept").select(*[F.col("keep")[c].alias(c) for c in docs.columns])
+    return _judged(docs, docs.columns, text, lang, limits, refs).where("kept").select(*[F.col("keep")[c].alias(c) for c in docs.columns])
