@@ -94,6 +94,38 @@ def test_encoder_is_the_tokenizers_librarys():
         assert packing.encoder(path)(t) == want.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t" * 400_000 + "b", "word " * 300_000, "x" * 1_000_000], ids=["spaces", "lines", "mixed", "words", "letters"])
+def test_encoder_takes_texts_of_any_length(text):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_file()
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_long_space_and_repeated_rows(spark):
+    rows = [(1, " " * 1_200_000)] + [(2, "same row")] * 5000 + [(3, "y " * 1023), (4, "y " * 1024)]
+    got = packing.pack_documents(ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(3), packing.tokenizer_file()).toPandas()
+    assert (got["doc_id"] == 2).sum() == 5000 and got.groupby("sequence_id")["length"].sum().max() <= 1024
+    alone = got[got["length"] == 1024]
+    assert (alone["offset"] == 0).all() and alone["sequence_id"].nunique() == len(alone) and (alone["sequence_id"] < 0).all()
+    assert (got[got["length"] < 1024]["sequence_id"] >= 0).all()
+
+
+def test_start_is_best_fit():
+    """Largest first, each to the bin with the least room that holds it: by brute force."""
+    r = np.random.default_rng(4)
+    lengths = r.integers(1, 101, 500)
+    bins = []
+    for i in np.argsort(-lengths, kind="stable"):
+        fits = [b for b in bins if 100 - lengths[b].sum() >= lengths[i]]
+        if fits:
+            min(fits, key=lambda b: 100 - lengths[b].sum()).append(i)
+        else:
+            bins.append([i])
+    got = packing.fill_bins(lengths, 100, steps=0)
+    assert sorted(i for b in got for i in b) == list(range(500)) and sorted(lengths[b].sum() for b in got) == sorted(lengths[b].sum() for b in bins)
+
+
 def test_packing(spark, documents):
     from tokenizers import Tokenizer
 
@@ -187,6 +219,30 @@ def test_revisits(spark):
     assert warc_revisits.resolve(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisits_in_chunks_by_number(spark):
+    """One outlying time, one hot url and many rows without url: chunks stay small and answers the same."""
+    schema = "record_id long, url string, time long, kind string, status int, etag string, last_modified string, headers map<string,string>, outcome string, key int"
+    rows = [(0, "http://a/x", 0, "response", 200, "e0", None, {"ETag": "e0"}, "clash", 1)]
+    rows += [(i, "http://a/x", 10**9 + i, "response" if i % 50 == 0 else "revisit", 200 if i % 50 == 0 else 304, f"e{i // 50}", None, {"Date": str(i)}, "clash", 1) for i in range(1, 2000)]
+    rows += [(5000 + i, None, 10**9 + i, "revisit", 304, "e", None, None, "clash", 1) for i in range(500)] + [(9000, "http://a/" + "y" * 100_000, 5, "revisit", 304, None, None, None, "clash", 1)] * 2
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    bounds = warc_revisits.chunk_bounds(df, 16)
+    sizes = collections.Counter(r[0] for r in df.select(warc_revisits.chunk_of(F.col("time"), bounds)).collect())
+    assert max(sizes.values()) < 2 * len(rows) / 16 and len(sizes) >= 14
+    got = warc_revisits.resolve(df, chunks=16).collect()
+    assert len(got) == len(rows) and all(r.outcome == "orphan" and r.refers_to is None for r in got if r.record_id >= 5000)
+    by = {r.record_id: r for r in got}
+    for i in range(1, 2000):
+        assert by[i].outcome == ("response" if i % 50 == 0 else "resolved")
+        assert i % 50 == 0 or (by[i].refers_to == i // 50 * 50 and by[i].headers["Date"] == str(i))
+
+
+def test_chunk_of_is_a_count_of_bounds(spark):
+    bounds = [3, 5, 8, 13, 21]
+    got = spark.range(30).select("id", warc_revisits.chunk_of(F.col("id"), bounds).alias("c"), warc_revisits.chunk_of(F.when(F.col("id") < 0, 1), bounds).alias("none")).collect()
+    assert all(r.c == sum(b <= r.id for b in bounds) and r.none == -1 for r in got)
+
+
 def test_headers_merge_in_any_case(spark):
     headers = spark.createDataFrame([({"Date": "1", "ETag": "a", "Content-Type": "t", "vary": "v"}, {"date": "2", "Cache-Control": "c", "content-type": "x", "ETag": None, "VARY": "w"})], "stored map<string,string>, own map<string,string>")
     got = headers.select(warc_revisits.merged_headers(F.col("stored"), F.col("own"))).first()[0]
@@ -251,6 +307,22 @@ def test_fingerprint_pairs(spark, documents, monkeypatch):
     assert order_minhash.with_next(docs.limit(0)).count() == 0
 
 
+def test_fingerprint_pairs_of_repeated_ids(spark, monkeypatch):
+    """Equal ids, repeated rows and clashing columns; ranges of some rows each."""
+    monkeypatch.setattr(order_minhash, "ROWS_PER_RANGE", 7)
+    rows = [(1, f"text {i}", "clash", 0) for i in range(40)] + [(2, "same", "clash", 0)] * 30 + [(3, "long " * 60_000, "clash", 0), (None, "none", "clash", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, part int").repartition(4)
+    got = order_minhash.with_next(docs).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"}
+    prints = {t: order_minhash.to_text(order_minhash.signature(t)) for _, t, _, _ in rows}
+    assert collections.Counter((r.doc_id, r.fingerprint) for r in got) == collections.Counter((i, prints[t]) for i, t, _, _ in rows)
+    assert sum(r.near_next == 1 for r in got if r.doc_id == 2) == 29
+    one = next(r for r in got if r.doc_id == 3)
+    assert one.edited_sha256 == hashlib.sha256(order_minhash.edited("long " * 60_000, "same").encode()).hexdigest()
+    last = next(r for r in got if r.doc_id is None)
+    assert last.edited_sha256 == hashlib.sha256(order_minhash.edited("none", "long " * 60_000).encode()).hexdigest()
+
+
 # Jaccard join.
 
 
@@ -343,6 +415,53 @@ def test_one_of_each(spark):
     assert ngram_jaccard.one_of_each(df.limit(0)).count() == 0 and ngram_jaccard.join(df.limit(0)).count() == 0
 
 
+def pairs_near(n, low, high, words=150, seed=21):
+    """n pairs of texts whose similarity lies in the range, beside a passage that all share."""
+    r = random.Random(seed)
+    shared = [f"p{i}" for i in range(40)]
+    out = []
+    while len(out) < 2 * n:
+        base = [f"w{r.randrange(100_000)}" for _ in range(words)]
+        own = list(base)
+        for _ in range(r.randrange(1, 6)):
+            own[r.randrange(words)] = f"x{r.randrange(100_000)}"
+        a, b = (set(ngram_jaccard.shingles(" ".join([*shared, *t])).tolist()) for t in (base, own))
+        if low <= len(a & b) / len(a | b) < high:
+            out += [" ".join([*shared, *base]), " ".join([*shared, *own])]
+    return out
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """1,500 pairs of similarity 0.8 to 0.85 in a large family with a shared passage, nodes so small that they split."""
+    monkeypatch.setattr(ngram_jaccard, "LIMIT", 64)
+    texts = pairs_near(1500, 0.8, 0.85)
+    df = ship(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in ngram_jaccard.join(df).collect()}
+    found = sum(got[i].class_id == got[i + 1].class_id == i and got[i].n_links == 1 for i in range(0, 3000, 2))
+    assert len(got) == 3000 and found >= 0.99 * 1500
+    assert all(r.n_links <= 1 for r in got.values())
+
+
+def test_groups_are_split_by_size(spark, monkeypatch):
+    """Texts of 60 to 1,200 words in chains of growing prefixes: blocks of a few texts, and every link counted."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_TEXTS", 5)
+    monkeypatch.setattr(ngram_jaccard, "NEAR", 0.0)
+    r = random.Random(8)
+    base = [f"w{r.randrange(10_000)}" for _ in range(1200)]
+    rows = [(i, " ".join(base[: 60 + 15 * i])) for i in range(77)] + [(100, base[0]), (101, " ".join(base[:5])), (102, " ".join(base[:6]))]
+    df = ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in ngram_jaccard.join(df).collect()) == sorted(brute_join(rows))
+
+
+def test_jaccard_join_of_very_long_texts(spark):
+    r = random.Random(3)
+    long = [f"w{r.randrange(100_000)}" for _ in range(200_000)]
+    edited = [*long[:1000], "x", *long[1001:]]
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, " ".join(long[:150_000])), (4, " ".join(long)), (5, "short text of five words")]
+    got = {x.doc_id: (x.class_id, x.n_links, x.n_copies) for x in ngram_jaccard.join(ship(spark).createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 2, 2), 2: (1, 2, 1), 3: (3, 0, 1), 4: (1, 2, 2), 5: (5, 0, 1)}
+
+
 def test_recall_is_planned():
     places = ngram_jaccard.root_places()
     assert len(set(places)) == len(places) >= 12
@@ -366,6 +485,55 @@ def test_machine_learns_pairs():
     assert wrong < 0.02 * len(y)
 
 
+def test_score_is_the_sum_over_pairs():
+    r = np.random.default_rng(2)
+    m = toxicity.Machine(np.arange(20, dtype=np.uint32), -0.3, r.normal(0, 1, 20), r.normal(0, 1, (20, toxicity.FACTORS)))
+    for n in (0, 1, 2, 7, 20):
+        rows = r.permutation(20)[:n]
+        z = m.bias + sum(m.weights[i] for i in rows) + sum(m.vectors[i] @ m.vectors[j] for k, i in enumerate(rows) for j in rows[:k])
+        assert m.score(rows) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_terms_are_those_of_largest_chi_squared(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERMS", 30)
+    r = np.random.default_rng(5)
+    docs = [np.unique(np.r_[r.integers(0, 200, 30), np.arange(300, 310) if i % 3 == 0 and r.random() < 0.8 else 400]) for i in range(400)]
+    y = np.array([int(i % 3 == 0) for i in range(400)])
+    n, n1 = len(y), int(y.sum())
+    chi = {}
+    for t in np.unique(np.concatenate(docs)).tolist():
+        has = np.array([t in d for d in docs])
+        table = np.array([[(has & (y == k)).sum(), (~has & (y == k)).sum()] for k in (0, 1)], float)
+        want = np.outer(table.sum(1), table.sum(0)) / n
+        if has.sum() >= toxicity.MIN_DOCS and want.min() > 0:
+            chi[t] = ((table - want) ** 2 / want).sum()
+    best = sorted((t for t in chi if chi[t] > toxicity.MIN_CHI), key=lambda t: (-chi[t], t))[:30]
+    df = spark.createDataFrame([(int(k), [int(t) for t in d]) for k, d in zip(y, docs, strict=True)], "y int, terms array<long>")
+    assert toxicity.select_terms(df).tolist() == sorted(best) and 0 < len(best) <= 30 and n1
+
+
+def test_bias_follows_the_share_of_all_labels():
+    """The sample holds both classes alike; a document without terms scores the share of toxic labels in training."""
+    docs = [np.array([1 + (i % 2)], np.uint32) for i in range(400)]
+    m = toxicity.fit(docs, np.array([i % 2 for i in range(400)]), 0.01)
+    even = toxicity.fit(docs, np.array([i % 2 for i in range(400)]), 0.5)
+    assert m.bias - even.bias == pytest.approx(np.log(0.01 / 0.99)) and m.score(np.array([1])) > m.score(np.array([0]))
+
+
+def test_a_labelled_id_repeated_thousands_of_times_is_one_row(spark, monkeypatch):
+    """One row an id reaches training, that of least hash, however the rows are dealt."""
+    sent = []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda docs, y, share, ids: sent.append((docs, y)) or real(docs, y, share, ids))
+    rows = [(i, f"word{i % 7} insult group" if i % 4 == 0 else f"word{i % 7} calm {i}") for i in range(400)] + [(8, f"repeat {i % 3}") for i in range(5000)]
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    machines = [toxicity.train(docs.repartition(k), labels) for k in (2, 5)]
+    trained = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    assert [len(y) for _, y in sent] == [trained, trained]
+    assert machines[0].bias == machines[1].bias and (machines[0].vectors == machines[1].vectors).all()
+
+
 def test_toxicity_held_out(spark):
     docs, labels = ship(spark).read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.scored_documents(docs, labels).join(labels, "doc_id").toPandas()
@@ -392,6 +560,54 @@ def test_each_operator_has_a_query():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
+def test_pipeline_edges(spark, documents):
+    """Every stage with null, empty and very long texts, null ids and sources, ties, repeated rows, clashing extra columns and no rows."""
+    ship(spark)
+    odd = [(None, None, None, None, None), (9001, None, "de", "a", 0), (9002, "", "xx", None, 0), (9003, " \n", None, "a", 2), (9004, "word " * 60_000, "en", "a", 300_000)]
+    base = documents.limit(60).unionByName(spark.createDataFrame(odd, DOCS))
+    base = base.unionByName(documents.where("doc_id < 3")).unionByName(documents.where("doc_id < 3"))
+    extra = base.select("*", F.lit("clash").alias("kept"), F.lit("clash").alias("size"), F.lit("clash").alias("score"), F.lit(1).alias("class_id"), F.lit(2).alias("length"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, extra, SF).collect()
+        none = stage(spark, extra.limit(0), SF)
+        assert none.count() == 0
+        if name != "best_fit_packing":
+            assert out and list(out[0].asDict()) == extra.columns == none.columns and all(r.kept == "clash" and r["size"] == "clash" for r in out)
+        ids = collections.Counter(r.doc_id for r in out)
+        if name == "quality_rules":
+            assert not {9001, 9002, 9003, 9004} & set(ids)
+        elif name == "toxicity":
+            assert {9001, 9002, 9003, 9004, None} <= set(ids) and ids[1] == 3 * (1 in ids)
+        elif name == "ngram_jaccard":
+            assert max(ids.values()) == 1 and len({9001, 9002, 9003, None} & set(ids)) == 1
+        elif name == "mix_sources":
+            assert not {9001, 9002, 9003, None} & set(ids)
+        else:
+            assert {9001, 9002, 9003, 9004, None} <= set(ids) and ids[9001] == 1 and ids[1] % 3 == 0
+
+
+def test_pipeline_keeps_what_brute_force_keeps(spark, documents):
+    """Quality, near copies and packing of a small corpus, each stage against a plain computation on its own input."""
+    ship(spark)
+    good = corpus_pipeline.good_documents(spark, documents, SF)
+    kept = {r.doc_id for r in good.collect()}
+    for r in documents.collect():
+        words = [w for w in (r.text or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if w]
+        seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        again = {k + d for k in range(len(words) - 2) if seen[tuple(words[k : k + 3])] > 1 for d in range(3)}
+        if len(words) < 50 or 100 * len(again) > 50 * len(words):
+            assert r.doc_id not in kept
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    assert {r.doc_id for r in corpus_pipeline.distinct_documents(spark, good, SF).collect()} == {c for _, c, _ in brute_join(rows)}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = {r.doc_id for r in toxicity.score(good, toxicity.train(good, labels), ["doc_id"]).where("score >= 0.5").collect()}
+    assert {r.doc_id for r in corpus_pipeline.harmless_documents(spark, good, SF).collect()} == {i for i, _ in rows} - toxic
+    encode, sizes = packing.encoder(packing.tokenizer_file()), collections.Counter()
+    for r in corpus_pipeline.packed_pieces(spark, good, SF).collect():
+        sizes[r.doc_id] += r.length
+    assert sizes == {i: len(encode(t)) + 1 for i, t in rows}
+
+
 def test_pipeline(spark, documents):
     ship(spark)
     docs = documents

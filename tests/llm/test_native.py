@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -79,6 +80,74 @@ def test_quality_rejects_odd_distributions(spark):
     assert judged.columns.count("kept") == 1 and dict(judged.dtypes)["kept"] == "boolean"
 
 
+def plain_distance(counts, ref):
+    total = sum(counts)
+    p = [c / total if total else 0.0 for c in counts]
+    kl = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    mid = [(x + y) / 2 for x, y in zip(p, ref, strict=True)]
+    return math.sqrt(max((kl(p, mid) + kl(ref, mid)) / 2, 0.0))
+
+
+def plain_histograms(text, lang):
+    classes = [0] * 7
+    for c in text:
+        k = 0 if c in " \t\n\x0b\f\r" else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4 if c in ".,;:!?'\"()-" else 5 if c < "\x80" else 6
+        classes[k] += 1
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text) if w]
+    listed = quality_rules.COMMON_WORDS.get(lang)
+    if listed is None:
+        return classes, None
+    forms = {f: w for w in listed for f in (w, w.capitalize(), *([w.upper()] if len(w) > 1 else []))}
+    found = collections.Counter(forms[w] for w in words if w in forms)
+    return classes, [*(found[w] for w in listed), len(words) - sum(found.values())]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, docs):
+    made = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang", "source", F.lit(1).alias("extra"))
+    return made.unionByName(docs)
+
+
+def test_quality_verdicts_by_brute_force(spark, corpus):
+    """References by their definition (twice the mean, the second time without far documents), distances and verdicts."""
+    limits = quality_rules.LIMITS
+    got = quality_rules.judge(corpus, keep=["doc_id", "lang", "text"]).collect()
+    share = lambda c: [x / sum(c) if sum(c) else 0.0 for x in c]
+    mean = lambda rows: [sum(x) / len(rows) for x in zip(*rows, strict=True)]
+    refs = {}
+    hist = {id(r): plain_histograms(r.text or "", r.lang) for r in got}
+    lang_of = lambda r: r.lang if r.lang in quality_rules.COMMON_WORDS else ""
+    for lang in {lang_of(r) for r in got}:
+        own = [hist[id(r)] for r in got if lang_of(r) == lang and not r.base_failed and len(r.text) >= limits["min_chars"]]
+        for again in (False, True):
+            if again and own:
+                c0, w0 = refs[lang]
+                far = [(plain_distance(c, c0), plain_distance(w, w0) if w else None) for c, w in own]
+                cut_c = quality_rules.TRIM * sum(c for c, _ in far) / len(far)
+                cut_w = quality_rules.TRIM * sum(w for _, w in far) / len(far) if lang else None
+                own = [h for h, (c, w) in zip(own, far, strict=True) if c <= cut_c and (w is None or w <= cut_w)]
+            if own:
+                refs[lang] = mean([share(c) for c, _ in own]), mean([share(w) for _, w in own]) if lang else None
+    assert len(refs) >= 4
+    for r in got:
+        c, w = hist[id(r)]
+        ref = refs.get(lang_of(r))
+        cd, wd = (plain_distance(c, ref[0]), plain_distance(w, ref[1]) if w else None) if ref else (None, None)
+        assert r.class_distance == pytest.approx(cd, abs=1e-9) and r.word_distance == (None if wd is None else pytest.approx(wd, abs=1e-9))
+        far = len(r.text or "") >= limits["min_chars"] and (cd or 0) > limits["class_distance"] or r.n_words >= limits["min_words"] and (wd or 0) > limits["word_distance"]
+        assert r.kept == (not r.base_failed and not far)
+
+
+def test_quality_with_given_references(spark, corpus):
+    """With the references of a trusted corpus a verdict is the document's own, whatever stands beside it."""
+    refs = spark.createDataFrame(quality_rules.learn_references(corpus).collect(), "ref_language string, ref_classes array<double>, ref_common array<double>")
+    one = {r.doc_id: r for r in quality_rules.judge(corpus, keep=["doc_id"]).collect()}
+    two = quality_rules.judge(corpus, keep=["doc_id"], refs=refs).collect()
+    some = quality_rules.judge(corpus.where("doc_id % 5 = 0"), keep=["doc_id"], refs=refs).collect()
+    assert len(two) == len(one) and some and all(one[r.doc_id] == r for r in [*two, *some])
+    assert {r.doc_id for r in quality_rules.filter_documents(corpus, refs=refs).select("doc_id").collect()} == {i for i, r in one.items() if r.kept}
+
+
 @pytest.mark.parametrize("run", [lambda d: quality_rules.judge(d, keep=["doc_id"]), lambda d: quality_rules.filter_documents(d), lambda d: license_scan.scan(d, ["doc_id"])])
 def test_empty_documents(spark, run):
     assert run(spark.createDataFrame([], DOCS)).count() == 0
@@ -252,3 +321,25 @@ def test_url_filters(spark, monkeypatch, bound):
     assert url_filters.judge(pages.limit(0), url_filters.rules_table(spark), ["page_id"]).count() == 0
     none = url_filters.judge(pages, url_filters.rules_table(spark, [], []), ["page_id"])
     assert {(r.rule, r.verdict) for r in none.collect()} == {(None, "allow")}
+
+
+def test_url_filters_long_and_hot_urls(spark):
+    """Very long hosts and paths, and one url on most rows."""
+    long = "http://" + "a." * 20_000 + "example.com/en/" + "x" * 100_000
+    rows = [(0, long)] + [(i, "https://www.example.com/en/7/x") for i in range(1, 3000)] + [(5000, None), (5001, "http:///en/"), (5002, "x://ORG/es/a?b")]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in rows], "page_id long, url string, rule string").repartition(4)
+    got = {r.page_id: r for r in url_filters.judge(df, url_filters.rules_table(spark), ["page_id", "rule"]).collect()}
+    assert len(got) == len(rows) and (got[0].rule, got[0].verdict) == ("com/en/", "block") and (got[5002].rule, got[5002].verdict) == ("org/es/", "block")
+    assert {(got[i].rule, got[i].verdict) for i in range(1, 3000)} == {("example.com/en/7", "allow")}
+    assert all((got[i].rule, got[i].verdict) == (None, "allow") for i in (5000, 5001))
+
+
+def test_license_scan_of_a_long_text_with_many_detections(spark):
+    """A megabyte of text with thousands of detections of many rules, nested and repeated, counted whole."""
+    part = "licensed under the apache license version 2.0 or the mit license cc by 4.0 gnu general public license version 3 all rights reserved spdx license identifier bsd 3 clause "
+    df = spark.createDataFrame([(1, part * 6000, "clash")], "doc_id long, text string, labels string")
+    got = license_scan.scan(df, ["doc_id", "labels"]).first()
+    one = license_scan.scan(spark.createDataFrame([(1, part * 2)], "doc_id long, text string"), ["doc_id"]).first()
+    words = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part))
+    assert got.n_words == 6000 * words and got.n_base == 6000 * 3 and got.labels == one.labels and got.score == one.score
+    assert got.first_word == one.first_word and got.last_word == 6000 * words - (2 * words - one.last_word)
