@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataframe.llm import best_fit_packing, mix_sources, ngram_jaccard, quality_rules, toxicity
-from strataframe.llm.common import cut, table
+from strataframe.llm.common import cut, spread, table
 from strataframe.session import ship
 
 
@@ -52,7 +52,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, a table between each two."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if not k else cut(docs), sf_dir)
     return docs
