@@ -6,6 +6,8 @@ import argparse
 import importlib
 import sys
 
+from pyspark import cloudpickle
+
 from .functions.keys import Key
 from .plans import importer, reports
 from .plans.repository import Repository
@@ -20,6 +22,13 @@ def typed_key(text: str) -> Key:
     return text
 
 
+def plugin(name: str):
+    """A plugin's module; its functions go to the executors with their code, so it need not be installed there."""
+    found = importlib.import_module(name)
+    cloudpickle.register_pickle_by_value(found)
+    return found
+
+
 def plugin_args(extra: list[str]) -> dict[str, str]:
     """``--name value`` pairs for plugins."""
     if len(extra) % 2 or not all(a.startswith("--") for a in extra[::2]):
@@ -132,16 +141,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         case "branch-delete":
             print(repo.remove_branch(args.name, force_delete=args.force))
         case "import":
-            plugin = importlib.import_module(args.plugin)
-            more = plugin_args(extra)
-            n = importer.import_files(repo, args.branch or state["branch"], args.column, args.folder, lambda path, content: plugin.load(path, content, **more), overwrite=args.overwrite)
+            load, more = plugin(args.plugin).load, plugin_args(extra)
+            n = importer.import_files(repo, args.branch or state["branch"], args.column, args.folder, lambda path, content: load(path, content, **more), overwrite=args.overwrite)
             print(f"{n} samples staged")
         case "export":
-            plugin = importlib.import_module(args.plugin)
-            print(importer.export_files(_reader(repo, args.startpoint), args.column, plugin.save, args.out, args.sample))
+            print(importer.export_files(_reader(repo, args.startpoint), args.column, plugin(args.plugin).save, args.out, args.sample))
         case "view":
             value = _reader(repo, args.startpoint)[args.column, args.sample]
-            print(importlib.import_module(args.plugin).show(value) if args.plugin else value)
+            print(plugin(args.plugin).show(value) if args.plugin else value)
         case "db-view":
             print("\n".join(reports.details(repo.store, args.table, args.limit)))
     return 0

@@ -1,8 +1,9 @@
-"""Small helpers: sizes as text, clamping, grouping."""
+"""Small helpers: sizes as text, clamping, grouping, a bounded dictionary."""
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,7 +17,7 @@ def format_bytes(n: float) -> str:
     """``1234567`` as ``1.23 MB``; powers of ten."""
     for unit in _UNITS[:-1]:
         if abs(n) < 1000:
-            return f"{n:.0f} {unit}" if unit == "B" else f"{n:.2f} {unit}"
+            return f"{n:.2f} {unit}"
         n /= 1000
     return f"{n:.2f} {_UNITS[-1]}"
 
@@ -55,3 +56,34 @@ def grouper(items: Iterable, n: int) -> Iterator[tuple]:
 
 def pairwise(items: Iterable) -> Iterator[tuple]:
     return itertools.pairwise(items)
+
+
+def next_prime(n: int) -> int:
+    """The least prime at or above n."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+class BoundedDict(dict):
+    """A dictionary of at most ``maxsize`` items; one more puts out the one that has been in longest, read or not."""
+
+    def __init__(self, *args, maxsize: int = 1000, **kwargs):
+        super().__init__()
+        self.maxsize = maxsize
+        self.update(*args, **kwargs)
+
+    def __setitem__(self, key, value) -> None:
+        if key not in self and len(self) >= self.maxsize:
+            del self[next(iter(self))]
+        super().__setitem__(key, value)
+
+    def setdefault(self, key, default=None):
+        if key not in self:
+            self[key] = default
+        return self[key]
+
+    def update(self, *args, **kwargs) -> None:
+        for k, v in dict(*args, **kwargs).items():
+            self[k] = v

@@ -50,11 +50,16 @@ def conflicts(base: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[st
     return three_way(base, mine, theirs, keys).select(*keys, conflict_type().alias("conflict")).where(F.col("conflict").isNotNull())
 
 
+def merged_rows(base: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Keys, digest, conflict of all keys from one join: the merged digest (null where the key is gone) and the conflict's type (null if none)."""
+    rows = three_way(base, mine, theirs, keys).withColumn("conflict", conflict_type())
+    theirs_won = ~F.col("theirs").eqNullSafe(F.col("base")) & F.col("conflict").isNull()
+    return rows.select(*keys, F.when(theirs_won, F.col("theirs")).otherwise(F.col("mine")).alias("digest"), "conflict")
+
+
 def merge(base: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The merged snapshot where nothing is in conflict: theirs where they changed a key, else mine. Conflicting keys keep mine."""
-    rows = three_way(base, mine, theirs, keys)
-    theirs_won = ~F.col("theirs").eqNullSafe(F.col("base")) & conflict_type().isNull()
-    return rows.select(*keys, F.when(theirs_won, F.col("theirs")).otherwise(F.col("mine")).alias("digest")).where(F.col("digest").isNotNull())
+    return merged_rows(base, mine, theirs, keys).select(*keys, "digest").where(F.col("digest").isNotNull())
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -96,22 +101,39 @@ def layout_conflicts(base: DataFrame, mine: DataFrame, theirs: DataFrame) -> Dat
     return new(mine).withColumnRenamed("sample_key", "a").join(new(theirs).withColumnRenamed("sample_key", "b"), "col").where("a <> b").select("col").distinct()
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "position", parts: int = 32) -> DataFrame:
+#: Rows of a part that one task numbers, and rows sampled for each part's bound.
+ROWS_PER_PART, SAMPLED = 1_000_000, 20
+
+
+def range_bounds(rows: DataFrame, order: list[str], parts: int, n: int) -> list[tuple]:
+    """Ascending rows of ``order`` that cut ``rows`` (n of them) into about equal parts, from a sample of SAMPLED rows a part."""
+    if parts < 2:
+        return []
+    sample = rows.select(*order).sample(min(1.0, SAMPLED * parts / n), seed=1).orderBy(*order).collect()
+    picked = [tuple(sample[k * len(sample) // parts]) for k in range(1, parts)] if sample else []
+    return [b for k, b in enumerate(picked) if not k or b != picked[k - 1]]
+
+
+def range_part(rows: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
+    """How many of the ascending bounds are at or before a row in ``order``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    kinds = dict(rows.dtypes)
+    own = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    listed = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(f"o{i}") for i, (c, v) in enumerate(zip(order, b, strict=True))]) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(listed, at + step - 1) <= own), at + step).otherwise(at))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "position", parts: int | None = None) -> DataFrame:
     """Rows numbered from 0 by ``order`` without one task seeing all: counts of range parts shift numbers within parts.
 
-    Range bounds are quantiles of the first column; ``order`` must be unique for a defined result.
+    Parts have about ROWS_PER_PART rows, however many that makes, and are cut by all columns of ``order``, so equal first
+    columns are split too; ``order`` must be unique for a defined result.
     """
-    first = order[0]
-    kind = dict(rows.dtypes)[first]
-    if kind in ("bigint", "int", "smallint", "tinyint", "double", "float"):
-        bounds = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-        part = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: F.col(first) > b)) if bounds else F.lit(0)
-    else:
-        lead = rows.agg(F.approx_count_distinct(first)).first()[0]
-        sample = rows.select(first).sample(min(1.0, 100.0 * parts / max(lead, 1)), seed=1).distinct().orderBy(first).limit(100 * parts).collect()
-        picked = sorted(r[0] for r in sample)[:: max(1, len(sample) // parts)][1:]
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in picked]), lambda b: F.col(first) > b)) if picked else F.lit(0)
-    dealt = rows.withColumn("_part", part)
+    n = rows.count()
+    bounds = range_bounds(rows, order, parts or -(-n // ROWS_PER_PART), n)
+    dealt = rows.withColumn("_part", range_part(rows, order, bounds))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     within = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)

@@ -47,13 +47,16 @@ def head_names(heads: DataFrame) -> DataFrame:
     return heads.groupBy("digest").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
 
 
-def ancestors_query(spark: SparkSession, edges: DataFrame, start: str) -> DataFrame:
-    """The same walk as one recursive query, for small graphs: edges (digest, parent)."""
-    edges.createOrReplaceTempView("_strataframe_edges")
-    literal = start.replace("'", "''")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(digest) AS (
-              SELECT '{literal}'
-              UNION ALL SELECT e.parent FROM walk JOIN _strataframe_edges e ON e.digest = walk.digest WHERE e.parent IS NOT NULL)
-            SELECT DISTINCT digest FROM walk"""
-    )
+def parents_of(edges: DataFrame) -> dict[str, list[str]]:
+    """The graph's parents from its edges (digest, parent); a null parent marks a first commit. One small row an edge comes to the driver."""
+    out: dict[str, list[str]] = {}
+    for r in edges.select("digest", "parent").toLocalIterator():
+        own = out.setdefault(r["digest"], [])
+        if r["parent"]:
+            own.append(r["parent"])
+    return out
+
+
+def ancestors_table(spark: SparkSession, edges: DataFrame, start: str) -> DataFrame:
+    """(digest): the start and all it descends from, by the walk that logs and merges use, whatever the depth and number of merges."""
+    return spark.createDataFrame([(c,) for c in ancestors(parents_of(edges), start)], "digest string")

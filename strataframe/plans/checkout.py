@@ -278,12 +278,12 @@ class WriterCheckout(Checkout):
     def put_dataframe(self, kind: str, col: str, rows: DataFrame) -> None:
         """Stage prepared values in bulk; digests are worked out where the rows are."""
         made = rows.withColumn("digest", digests.object_digest(F.col("kind"))).withColumn("nbytes", F.coalesce(F.octet_length("data"), F.octet_length("text")).cast("long"))
-        self.store.append_objects(made, self._codec(col))
+        self.store.append_objects(made, self._options(col))
         self.store.stage(made.select(F.lit(kind).alias("kind"), F.lit(col).alias("col"), "sample_key", "subsample_key", "digest", F.lit("put").alias("op")))
 
-    def _codec(self, col: str) -> str | None:
-        schema = (self._schemas or {}).get(col)
-        return schema.storage_options.get("compression") if schema else None
+    def _options(self, col: str) -> dict:
+        schema = self.schemas().get(col)
+        return schema.storage_options if schema else {}
 
     def flush(self) -> None:
         """Write what was gathered: new objects first, then the operations, the last of a key only."""
@@ -329,13 +329,10 @@ class WriterCheckout(Checkout):
     def commit(self, commit_message: str) -> str:
         """Make staging the branch's next commit; RuntimeError if nothing changed."""
         self.must_write()
-        records = self.records().persist()
-        try:
+        with self.store.work(self.records().select(*algebra.KEYS, "digest")) as records:
             if not self.store.files.exists("staging") or algebra.diff(self.store.refs(self._commit), records).isEmpty():
                 raise RuntimeError("there is nothing to commit")
             digest = make_commit(self.store, records, [self._commit] if self._commit else [], commit_message)
-        finally:
-            records.unpersist()
         self._land(digest)
         return digest
 
@@ -374,7 +371,7 @@ def _layout(nested: bool) -> str:
 
 
 def make_commit(store: Store, records: DataFrame, parents: list[str], message: str) -> str:
-    """Write a snapshot and its commit; the caller moves the head last."""
+    """Put a snapshot (a table of ``work``) in its place and write its commit; the caller moves the head last."""
     state = store.state()
     row = digests.refs_digest(digests.record_hash(records), records).first()
     spec = {"commit_time": time.time(), "message": message, "user": state.get("user", ""), "email": state.get("email", "")}

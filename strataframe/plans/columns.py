@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 import string
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -25,6 +25,28 @@ if TYPE_CHECKING:
 _MISSING = object()
 
 
+def _away(column: str, stored: str) -> FileNotFoundError:
+    return FileNotFoundError(f"the value of {column!r} {decode_key(stored)!r} is on a remote; fetch its data first")
+
+
+class Streamed:
+    """A view that is worked out anew each time it is iterated, streamed from the cluster; equal to a list of the same."""
+
+    def __init__(self, size: Callable[[], int], items: Callable[[], Iterator]):
+        self._size, self._items = size, items
+
+    def __iter__(self) -> Iterator:
+        return self._items()
+
+    def __len__(self) -> int:
+        return self._size()
+
+    def __eq__(self, other: object) -> bool:
+        return list(self) == list(other) if isinstance(other, (list, tuple, Streamed)) else NotImplemented
+
+    __hash__ = None
+
+
 class Column:
     """What flat and nested columns share."""
 
@@ -82,14 +104,22 @@ class Column:
         return self.records().join(self._co.store.objects().withColumnRenamed("kind", "value_kind"), "digest", "left")
 
     def _values(self, records: DataFrame) -> list[tuple[str, str, object]]:
+        """Values of a few records, by one filter on their digests."""
         rows = records.select("sample_key", "subsample_key", "digest").orderBy("sample_key", "subsample_key").collect()
         found = self._co.load(sorted({r["digest"] for r in rows}))
-        out = []
         for r in rows:
             if r["digest"] not in found:
-                raise FileNotFoundError(f"the value of {self.column!r} {decode_key(r['sample_key'])!r} is on a remote; fetch its data first")
-            out.append((r["sample_key"], r["subsample_key"], found[r["digest"]]))
-        return out
+                raise _away(self.column, r["sample_key"])
+        return [(r["sample_key"], r["subsample_key"], found[r["digest"]]) for r in rows]
+
+    def _streamed(self, records: DataFrame) -> Iterator[tuple[str, str, object]]:
+        """Any number of records with their values in key order: one join and sort, of which the driver holds one range at a time."""
+        objects = self._co.store.objects().withColumnRenamed("kind", "value_kind").drop("nbytes")
+        rows = records.select("sample_key", "subsample_key", "digest").join(objects, "digest", "left").orderBy("sample_key", "subsample_key")
+        for r in rows.toLocalIterator(prefetchPartitions=True):
+            if r["value_kind"] is None:
+                raise _away(self.column, r["sample_key"])
+            yield r["sample_key"], r["subsample_key"], from_row(r["value_kind"], r["dtype"], r["shape"], r["data"], r["text"])
 
     def _asked(self, local: bool) -> DataFrame:
         return access.local_only(self.records(), self._co.store.objects()) if local else self.records()
@@ -146,15 +176,19 @@ class Column:
     def update_dataframe(self, rows: DataFrame) -> None:
         """Upsert many samples at once: sample_key and subsample_key in stored form, kind, dtype, shape, data, text.
 
-        Every row is checked first; one that does not fit stops the whole update.
+        The rows are worked out once and checked first; one that does not fit, or a key given twice, stops the whole update.
         """
         self._co.must_write()
         self._co.flush()
-        bad = rows.select("sample_key", self.schema.violation().alias("reason")).where("reason IS NOT NULL").take(1)
-        if bad:
-            raise ValueError(f"column {self.column!r}, {bad[0]['sample_key']!r}: {bad[0]['reason']}")
-        self._co.put_dataframe(self.kind, self.column, rows)
-
+        given = ["sample_key", "subsample_key", "kind", "dtype", "shape", "data", "text"]
+        with self._co.store.work(rows.select(*given)) as written:
+            bad = written.select("sample_key", self.schema.violation().alias("reason")).where("reason IS NOT NULL").take(1)
+            if bad:
+                raise ValueError(f"column {self.column!r}, {bad[0]['sample_key']!r}: {bad[0]['reason']}")
+            twice = written.groupBy("sample_key", "subsample_key").count().where("count > 1").take(1)
+            if twice:
+                raise ValueError(f"column {self.column!r}: {twice[0]['count']} rows for {twice[0]['sample_key']!r} {twice[0]['subsample_key']!r}; rows have no order, so give one a key")
+            self._co.put_dataframe(self.kind, self.column, written)
 
     def delete_dataframe(self, gone: DataFrame) -> None:
         """Delete many samples at once: sample_key and subsample_key in stored form. Keys that are not there don't matter."""
@@ -186,11 +220,13 @@ class FlatColumn(Column):
     def keys(self, local: bool = False) -> list[Key]:
         return [decode_key(r[0]) for r in self._asked(local).select("sample_key").orderBy("sample_key").collect()]
 
-    def values(self, local: bool = False) -> list[object]:
-        return [v for _, _, v in self._values(self._asked(local))]
+    def values(self, local: bool = False) -> Streamed:
+        rows = self._asked(local)
+        return Streamed(rows.count, lambda: (v for _, _, v in self._streamed(rows)))
 
-    def items(self, local: bool = False) -> list[tuple[Key, object]]:
-        return [(decode_key(s), v) for s, _, v in self._values(self._asked(local))]
+    def items(self, local: bool = False) -> Streamed:
+        rows = self._asked(local)
+        return Streamed(rows.count, lambda: ((decode_key(s), v) for s, _, v in self._streamed(rows)))
 
     def __setitem__(self, key: Key, value: object) -> None:
         self.update({key: value})

@@ -66,7 +66,7 @@ class Diff:
 
     @property
     def has_conflict(self) -> bool:
-        return any(self.conflict.values())
+        return self.conflicts is not None and not self.conflicts.isEmpty()
 
 
 def all_conflicts(base: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ once by digest, and staged in one batch; where two outputs have one key, the lat
 from __future__ import annotations
 
 import inspect
+import io
 import pickle
 import random
 from collections.abc import Callable, Iterator
@@ -18,8 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, encode_key
-from ..functions.tensors import to_row
+from ..functions.keys import Key, decode_key, encode_key
+from ..functions.tensors import from_row, to_row
 from ..operators import algebra
 from ..sources.store import OBJECTS
 
@@ -99,19 +100,15 @@ def run_bulk_import(repo, branch_name: str, column_names: list[str], udf: Callab
         if unknown := set(column_names) - set(schemas):
             raise KeyError(f"no columns {sorted(unknown)}")
         check_udf(udf, udf_kwargs, set(column_names))
-        steps = outputs(repo.spark, udf, udf_kwargs, {n: schemas[n] for n in column_names}, ncpus or None).persist()
-        try:
+        with repo.store.work(outputs(repo.spark, udf, udf_kwargs, {n: schemas[n] for n in column_names}, ncpus or None)) as steps:
             if bad := steps.where("problem IS NOT NULL").take(1):
                 raise ValueError(f"column {bad[0]['col']!r}, {bad[0]['sample_key']!r}: {bad[0]['problem']}")
             kinds = {n: ("n" if schemas[n].layout == "nested" else "f") for n in column_names}
             kind = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("col"))
-            before = repo.store.objects().count()
-            repo.store.append_objects(steps.select(*[c.split(" ")[0] for c in OBJECTS.split(", ")]))
+            new = repo.store.append_objects(steps.select(*[c.split(" ")[0] for c in OBJECTS.split(", ")]))
             keyed = algebra.last_write(steps.select("col", "sample_key", "subsample_key", "task", "step", "digest"), ["col", "sample_key", "subsample_key"], ["task", "step"])
             repo.store.stage(keyed.select(kind.alias("kind"), "col", "sample_key", "subsample_key", "digest", F.lit("put").alias("op")))
-            counts = {"outputs": steps.count(), "keys": keyed.count(), "new_values": repo.store.objects().count() - before}
-        finally:
-            steps.unpersist()
+            counts = {"outputs": steps.count(), "keys": keyed.count(), "new_values": new}
         if autocommit and co.diff.status() == "DIRTY":
             co.commit(f"Import into {', '.join(sorted(column_names))}")
         return counts
@@ -120,43 +117,84 @@ def run_bulk_import(repo, branch_name: str, column_names: list[str], udf: Callab
 
 
 def import_files(repo, branch_name: str, column: str, path: str, load: Callable[[str, bytes], Iterator[tuple[object, Key]]], *, overwrite: bool = False, pattern: str = "*") -> int:
-    """Each file of a folder goes through ``load(path, content)``, which yields (value, key). Keys that are there are skipped unless overwritten."""
+    """Each file of a folder goes through ``load(path, content)``, which yields (value, key), in a nested column (value, (sample, subsample)).
+
+    Keys that are there are skipped unless overwritten; where two outputs have one key, the later by (path, number) wins.
+    """
     co = repo.checkout(write=True, branch=branch_name)
     try:
         schema = co.schemas()[column]
+        depth, kind = (2, "n") if schema.layout == "nested" else (1, "f")
         found = repo.spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names = ["sample_key", "subsample_key", "problem", *[c.split(" ")[0] for c in OBJECTS.split(", ")]]
+            names = ["path", "step", "sample_key", "subsample_key", "problem", *[c.split(" ")[0] for c in OBJECTS.split(", ")]]
             for b in batches:
                 out = []
                 for p, content in zip(b["path"], b["content"], strict=True):
-                    for value, key in load(p, bytes(content)):
-                        problem = schema.why_not(value)
-                        out.append((encode_key(key), "", problem, *(to_row(value) if problem is None else (None,) * 7)))
+                    for step, (value, key) in enumerate(load(p, bytes(content))):
+                        key = key if isinstance(key, tuple) else (key,)
+                        problem = schema.why_not(value) if len(key) == depth else f"{key!r} is no key of a {schema.layout} column"
+                        stored = [encode_key(k) for k in key] if problem is None else ["", ""]
+                        out.append((p, step, stored[0], stored[1] if depth == 2 else "", problem, *(to_row(value) if problem is None else (None,) * 7)))
                 yield pd.DataFrame(out, columns=names)
 
-        rows = found.mapInPandas(run, "sample_key string, subsample_key string, problem string, " + OBJECTS)
-        if not overwrite:
-            rows = rows.join(co.column(column).records().select("sample_key"), "sample_key", "left_anti")
-        rows = rows.persist()
-        try:
+        keys = ["sample_key", "subsample_key"]
+        rows = found.mapInPandas(run, "path string, step long, sample_key string, subsample_key string, problem string, " + OBJECTS)
+        with repo.store.work(rows) as rows:
             if bad := rows.where("problem IS NOT NULL").take(1):
-                raise ValueError(f"column {column!r}, {bad[0]['sample_key']!r}: {bad[0]['problem']}")
+                raise ValueError(f"column {column!r}, {bad[0]['path']!r}: {bad[0]['problem']}")
+            if not overwrite:
+                rows = rows.join(co.column(column).records().select(*keys), keys, "left_anti")
             repo.store.append_objects(rows)
-            once = algebra.last_write(rows.select("sample_key", "subsample_key", "digest"), ["sample_key", "subsample_key"], ["digest"])
-            repo.store.stage(once.select(F.lit("f").alias("kind"), F.lit(column).alias("col"), "sample_key", "subsample_key", "digest", F.lit("put").alias("op")))
+            once = algebra.last_write(rows.select(*keys, "path", "step", "digest"), keys, ["path", "step"])
+            repo.store.stage(once.select(F.lit(kind).alias("kind"), F.lit(column).alias("col"), *keys, "digest", F.lit("put").alias("op")))
             return once.count()
-        finally:
-            rows.unpersist()
     finally:
         co.close()
 
 
+def load_numpy(path: str, content: bytes) -> Iterator[tuple[object, Key]]:
+    """A loader for ``import_files``: an ``.npy`` file is one sample named as the file, an ``.npz`` archive one for each array."""
+    name, _, kind = path.rsplit("/", 1)[-1].rpartition(".")
+    got = np.load(io.BytesIO(content), allow_pickle=False)
+    if kind == "npy":
+        yield np.ascontiguousarray(got), name
+    else:
+        for k in got.files:
+            yield np.ascontiguousarray(got[k]), k
+
+
 def export_files(checkout, column: str, save: Callable[[object, str, Key], None], outdir: str, sample: Key | None = None) -> int:
-    """Each sample, or one, through ``save(value, path, key)`` into a folder; files are named by type and key."""
+    """Each sample, or one, through ``save(value, path, key)``; files are named by type and key, in a nested column by both keys.
+
+    A single sample is saved here. All samples are saved by the executors, each its part, so ``outdir`` must be a folder
+    that they share; a task that runs again saves its files again.
+    """
     col = checkout.column(column)
-    items = [(sample, col[sample])] if sample is not None else col.items()
-    for key, value in items:
-        save(value, f"{outdir}/{'int' if isinstance(key, int) else 'str'}:{key}", key)
-    return len(items)
+
+    def name(key: Key) -> str:
+        return f"{'int' if isinstance(key, int) else 'str'}:{key}"
+
+    def path(*keys: Key) -> str:
+        return f"{outdir}/{'-'.join(map(name, keys))}"
+
+    if sample is not None:
+        value = col[sample]
+        pairs = [((sample, k), v) for k, v in value.data.items()] if col.contains_subsamples else [((sample,), value)]
+        for keys, v in pairs:
+            save(v, path(*keys), keys[-1])
+        return len(pairs)
+    rows = col.dataframe()
+    if col.contains_remote_references:
+        raise FileNotFoundError(f"values of {column!r} are on a remote; fetch their data first")
+    nested = col.contains_subsamples
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                keys = [decode_key(r.sample_key), *([decode_key(r.subsample_key)] if nested else [])]
+                save(from_row(r.value_kind, r.dtype, r.shape, r.data, r.text), path(*keys), keys[-1])
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rows.select("sample_key", "subsample_key", "value_kind", "dtype", "shape", "data", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0

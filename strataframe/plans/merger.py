@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import algebra, history
 from ..sources.store import Store
-from .differ import Diff, all_conflicts
+from .differ import record_key
+
+#: Keys in conflict that a refusal names.
+SHOWN = 20
 
 
 def merge_into(store: Store, message: str, master: str, dev: str) -> str:
@@ -28,14 +33,16 @@ def merge_into(store: Store, message: str, master: str, dev: str) -> str:
     else:
         base = store.refs(history.common_ancestor(parents, times, mine, theirs) or "")
         sides = base, store.refs(mine), store.refs(theirs)
-        clash = Diff(algebra.diff(sides[2], sides[1]), all_conflicts(*sides))
-        if clash.has_conflict:
-            raise ValueError(f"{master!r} and {dev!r} are in conflict: {({k: v for k, v in clash.conflict.items() if v})}")
-        merged = algebra.merge(*sides).persist()
-        try:
-            digest = make_commit(store, merged, [mine, theirs], message)
-        finally:
-            merged.unpersist()
+        with store.work(algebra.merged_rows(*sides)) as rows:
+            layouts = [(r["col"],) for r in algebra.layout_conflicts(*sides).take(SHOWN)]
+            clash = rows.where(F.col("conflict").isNotNull())
+            shown = clash.orderBy(*algebra.KEYS).limit(SHOWN).collect()
+            if shown or layouts:
+                counts = {r["conflict"]: r["n"] for r in clash.groupBy("conflict").agg(F.count("*").alias("n")).collect()}
+                named = [(r["conflict"], *record_key(r)) for r in shown] + [("layout", *c) for c in layouts]
+                raise ValueError(f"{master!r} and {dev!r} are in conflict: {counts}, such as {named}")
+            with store.work(rows.where(F.col("digest").isNotNull()).select(*algebra.KEYS, "digest")) as merged:
+                digest = make_commit(store, merged, [mine, theirs], message)
     store.set_heads(heads | {master: digest})
     store.clear_staging()
     store.set_state(branch=master)

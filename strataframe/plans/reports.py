@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import importlib.metadata
+import platform
+import sys
 import time
+from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
@@ -98,3 +103,47 @@ def status_text(branch: str, diff: Diff) -> str:
 def details(store: Store, table: str, line_limit: int = 100) -> list[str]:
     """The first lines of a table, for a look at it."""
     return [str(r) for r in {"objects": store.objects().drop("data", "text"), "refs": store.all_refs(), "commits": store.commits_table(), "heads": store.heads_table(), "schemas": store.schemas_table()}[table].limit(line_limit).collect()]
+
+
+#: Packages the library needs, and those that only some of its parts use.
+NEEDED, OPTIONAL = ["pyspark", "py4j", "numpy", "pandas", "pyarrow"], ["torch", "tensorflow", "duckdb", "tokenizers", "tiktoken", "xxhash"]
+
+
+def _versions(names: list[str]) -> dict[str, str | None]:
+    out: dict[str, str | None] = {}
+    for n in names:
+        try:
+            out[n] = importlib.metadata.version(n)
+        except importlib.metadata.PackageNotFoundError:
+            out[n] = None
+    return out
+
+
+def ecosystem() -> dict[str, dict[str, str | None]]:
+    """host, packages and optional packages, each a name with its version (None where a package is absent)."""
+    host = platform.uname()
+    return {
+        "host": {"python": platform.python_version(), "bits": str(64 if sys.maxsize > 1 << 32 else 32), "system": host.system, "release": host.release, "machine": host.machine, "byteorder": sys.byteorder},
+        "packages": _versions(NEEDED),
+        "optional": _versions(OPTIONAL),
+    }
+
+
+def told_as_damage(check: Callable) -> Callable:
+    """Of a check of stored data: faults it names are raised as they are, any other error as a RuntimeError that says what was read."""
+
+    @functools.wraps(check)
+    def run(*args, **kwargs):
+        try:
+            return check(*args, **kwargs)
+        except RuntimeError:
+            raise
+        except Exception as e:
+            at = e.__traceback__
+            while at.tb_next:
+                at = at.tb_next
+            names = at.tb_frame.f_code.co_varnames[: at.tb_frame.f_code.co_argcount]
+            given = {n: repr(at.tb_frame.f_locals.get(n))[:200] for n in names}
+            raise RuntimeError(f"stored data that {check.__name__.strip('_')} reads can't be parsed: {type(e).__name__}: {e}; in {at.tb_frame.f_code.co_name} with {given}") from e
+
+    return run

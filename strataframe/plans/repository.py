@@ -11,15 +11,14 @@ from .. import __version__
 from ..functions import digests
 from ..functions.keys import check_name
 from ..functions.sizes import format_bytes
+from ..functions.versions import can_read
 from ..operators import history, integrity
-from ..sources.store import FORMAT, Store
+from ..sources.store import FORMAT, LOCK, Store
 from . import reports
 from .checkout import Checkout, WriterCheckout
 from .differ import Diff, compare
 from .merger import merge_into
 
-LOCK = "writer.lock"
-
 
 class Repository:
     """``path`` is a folder on any storage that Spark reaches."""
@@ -29,6 +28,8 @@ class Repository:
         self.store = Store(spark, self.path)
         if self.initialized and self.store.state().get("format") != FORMAT:
             raise RuntimeError(f"format {self.store.state().get('format')} of {path} is not {FORMAT}")
+        if self.initialized and not can_read(self.store.state()["version"]):
+            raise RuntimeError(f"{path} was made by version {self.store.state()['version']}, which this one can't read")
 
     # Life.
 
@@ -80,16 +81,10 @@ class Repository:
         return self.store.files.exists(LOCK)
 
     def acquire_lock(self, holder: str) -> str:
-        """One holder at a time; the same holder may ask again."""
-        if not self.store.files.create(LOCK, holder) and self.store.files.read(LOCK) != holder:
-            raise PermissionError("another writer holds the lock")
-        return holder
+        return self.store.lock(holder)
 
     def release_lock(self, holder: str) -> None:
-        if self.store.files.exists(LOCK):
-            if self.store.files.read(LOCK) != holder:
-                raise RuntimeError("another writer holds the lock")
-            self.store.files.delete(LOCK)
+        self.store.unlock(holder)
 
     def force_release_writer_lock(self) -> bool:
         self._ready()
@@ -104,12 +99,19 @@ class Repository:
             raise ValueError(f"no branch {branch!r}")
         return heads[branch]
 
-    def checkout(self, write: bool = False, *, branch: str = "", commit: str = "") -> Checkout | WriterCheckout:
-        """A commit, else a branch, else the staging area's branch. Only one write checkout can be open."""
+    def checkout(self, write: bool = False, *, branch: str = "", commit: str = "", verify: bool = False) -> Checkout | WriterCheckout:
+        """A commit, else a branch, else the staging area's branch. Only one write checkout can be open.
+
+        ``verify`` works a read checkout's digest out anew from its records, in one pass over them; OSError if it differs.
+        """
         self._ready()
         staging = self.store.state()["branch"]
         if not write:
             at = history.expand_digest(list(self.store.commits()), commit) if commit else self._head(branch or staging)
+            if verify and at:
+                refs = self.store.refs(at)
+                if digests.refs_digest(digests.record_hash(refs), refs).first()["refs_digest"] != self.store.commits()[at]["refs_digest"]:
+                    raise OSError(f"the records of {at} do not have its digest")
             return Checkout(self.store, at)
         if commit:
             raise ValueError("a write checkout is of a branch")
@@ -201,23 +203,23 @@ class Repository:
 
     def merge(self, message: str, master_branch: str, dev_branch: str) -> str:
         self._ready()
-        holder = self.acquire_lock(f"merge-{uuid.uuid4().hex}")
-        try:
+        with self.store.locked("merge"):
             return merge_into(self.store, message, master_branch, dev_branch)
-        finally:
-            self.release_lock(holder)
+
+    @staticmethod
+    def ecosystem() -> dict:
+        """Versions of the host, the packages used and the optional ones."""
+        return reports.ecosystem()
 
     # Integrity.
 
     def verify_repo_integrity(self) -> bool:
         """Branches, commit graph, snapshots, schemas and values; RuntimeError at the first fault."""
         self._ready()
-        holder = self.acquire_lock(f"verify-{uuid.uuid4().hex}")
-        try:
+        with self.store.locked("verify"):
             return self._verify()
-        finally:
-            self.release_lock(holder)
 
+    @reports.told_as_damage
     def _verify(self) -> bool:
         def none(rows, what: str) -> None:
             if bad := rows.take(3):

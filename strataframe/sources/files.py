@@ -55,6 +55,13 @@ class Files:
         source = self._fs.makeQualified(self._path(draft))
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), self._conf).rename(source, self._fs.makeQualified(self._path(name)), over)
 
+    def rename(self, name: str, to: str) -> None:
+        """Put a file or folder in another place, whose parent is made; the place must be free."""
+        target = self._path(to)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(name), target):
+            raise OSError(f"{name} could not be renamed to {to}")
+
     def delete(self, name: str = "") -> bool:
         return self._fs.delete(self._path(name), True)
 

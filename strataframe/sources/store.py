@@ -8,10 +8,14 @@ objects, refs, commit, head: a crash before the last step leaves files that noth
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digests import object_digest
 from ..functions.schemas import ColumnSchema
 from ..operators import algebra
 from .files import Files
@@ -21,6 +25,7 @@ REFS = "kind string, col string, sample_key string, subsample_key string, digest
 REMOTE_REFS = "digest string, schema_digest string, remote string"
 COMMITS = "digest string, parents array<string>, is_merge boolean, commit_time double, message string, user string, email string, refs_digest string"
 FORMAT = 1
+LOCK = "writer.lock"
 
 
 class Store:
@@ -47,16 +52,87 @@ class Store:
     def all_refs(self) -> DataFrame:
         return self._read("refs", REFS + ", commit string")
 
-    def append_objects(self, rows: DataFrame, codec: str | None = None) -> None:
-        """Append the rows whose digest is new, one of each."""
+    @contextmanager
+    def work(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` written once to a folder of the repository and read from there until the block ends.
+
+        What is built on it sees one evaluation, also after executors were lost, and whoever reads it can be anywhere.
+        """
+        name = f"work/{uuid.uuid4().hex}"
+        df.write.parquet(self.files.at(name))
+        try:
+            out = self.spark.read.schema(df.schema).parquet(self.files.at(name))
+            out._strataframe_work = name
+            yield out
+        finally:
+            self.files.delete(name)
+
+    def _adopt(self, name: str, to: str) -> None:
+        """Move the part files of a written folder into a table."""
+        for file in self.files.names(name):
+            if file.startswith("part-"):
+                self.files.rename(f"{name}/{file}", f"{to}/{file}")
+
+    def append_objects(self, rows: DataFrame, options: dict | None = None, check: bool = False) -> int:
+        """Append the rows whose digest is new, one of each; how many they were.
+
+        They are written aside and then moved, so a reader never sees part of them. ``check`` compares the values with
+        their digests on the way; RuntimeError, and nothing is appended, if one differs.
+        """
+        options = options or {}
         new = algebra.new_only(rows.select("digest", "kind", "dtype", "shape", "data", "text", "nbytes"), self.objects())
-        new.write.mode("append").option("compression", codec or "zstd").parquet(self.files.at("objects"))
+        name = f"work/{uuid.uuid4().hex}"
+        writer = new.withColumn("sound", object_digest(F.col("kind")) == F.col("digest") if check else F.lit(True)).write.option("compression", options.get("compression") or "zstd")
+        if options.get("level") is not None:
+            writer = writer.option("parquet.compression.codec.zstd.level", str(options["level"]))
+        try:
+            writer.parquet(self.files.at(name))
+            made = self.spark.read.schema("digest string, sound boolean").parquet(self.files.at(name))
+            if check and (bad := made.where("NOT coalesce(sound, false)").select("digest").take(1)):
+                raise RuntimeError(f"value {bad[0][0]} arrived damaged")
+            n = made.count()
+            self._adopt(name, "objects")
+            return n
+        finally:
+            self.files.delete(name)
 
     def append_remote_refs(self, rows: DataFrame) -> None:
         algebra.new_only(rows, self.remote_refs()).write.mode("append").parquet(self.files.at("remote_refs"))
 
     def write_refs(self, commit: str, rows: DataFrame) -> None:
-        rows.select("kind", "col", "sample_key", "subsample_key", "digest").write.mode("overwrite").parquet(self.files.at(f"refs/commit={commit}"))
+        """A commit's snapshot; a table of ``work`` that holds it already is moved into place."""
+        name, to = getattr(rows, "_strataframe_work", None), f"refs/commit={commit}"
+        if name:
+            self.files.delete(to)
+            self.files.rename(name, to)
+        else:
+            rows.select("kind", "col", "sample_key", "subsample_key", "digest").write.mode("overwrite").parquet(self.files.at(to))
+
+    def add_refs(self, rows: DataFrame) -> None:
+        """Snapshots of many commits (the columns of REFS and commit) in one job."""
+        rows.select("kind", "col", "sample_key", "subsample_key", "digest", "commit").write.mode("append").partitionBy("commit").parquet(self.files.at("refs"))
+
+    # The writer's lock.
+
+    def lock(self, holder: str) -> str:
+        """One holder at a time; the same holder may ask again."""
+        if not self.files.create(LOCK, holder) and self.files.read(LOCK) != holder:
+            raise PermissionError("another writer holds the lock")
+        return holder
+
+    def unlock(self, holder: str) -> None:
+        if self.files.exists(LOCK):
+            if self.files.read(LOCK) != holder:
+                raise RuntimeError("another writer holds the lock")
+            self.files.delete(LOCK)
+
+    @contextmanager
+    def locked(self, what: str) -> Iterator[None]:
+        holder = self.lock(f"{what}-{uuid.uuid4().hex}")
+        try:
+            yield
+        finally:
+            self.unlock(holder)
 
     # Small metadata.
 

@@ -85,7 +85,7 @@ def test_violations_as_a_column(spark):
 
 
 def test_sizes():
-    assert sizes.format_bytes(1_234_567) == "1.23 MB" and sizes.format_bytes(12) == "12 B"
+    assert sizes.format_bytes(1_234_567) == "1.23 MB" and sizes.format_bytes(12) == "12.00 B" and sizes.format_bytes(1) == "1.00 B"
     assert sizes.parse_bytes("5 kB") == 5000 and sizes.parse_bytes("1.5MiB") == 1_572_864 and sizes.parse_bytes("100") == 100
     with pytest.raises(ValueError):
         sizes.parse_bytes("five")
