@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from .functions.keys import Key
 from .plans import importer, reports
 from .plans.repository import Repository
+from .service.server import serve
 from .session import session, ship
 
 
@@ -56,7 +57,8 @@ def parser() -> argparse.ArgumentParser:
     command("clone", ("remote", {}), ("--name", {"required": True}), ("--email", {"required": True}), ("--overwrite", flag))
     command("fetch", ("remote", {}), ("branch", {}))
     command("fetch-data", ("remote", {}), ("startpoint", {}), ("-c --column", {"action": "append"}), ("-a --all-history", flag))
-    command("push", ("remote", {}), ("branch", {}))
+    command("push", ("remote", {}), ("branch", {}), ("--username", {"default": ""}), ("--password", {"default": ""}))
+    command("server", ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 50051}), ("--username", {"default": ""}), ("--password", {"default": ""}))
     command("remote-list")
     command("remote-add", ("name", {}), ("address", {}))
     command("remote-remove", ("name", {}))
@@ -82,6 +84,11 @@ def _reader(repo: Repository, startpoint: str | None):
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     args, extra = parser().parse_known_args(argv)
+    if args.command == "server":
+        server = serve(args.path, args.host, args.port, args.username, args.password)
+        print(f"serving {args.path} at http://{args.host}:{server.server_address[1]}", flush=True)
+        server.serve_forever()
+        return 0
     repo = Repository(ship(spark or session("strataframe-cli")), args.path)
     state = repo.store.state() if repo.initialized else {}
     match args.command:
@@ -115,7 +122,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             at = {"branch": args.startpoint} if f"{args.remote}/{args.startpoint}" in repo.list_branches() or args.startpoint in repo.list_branches() else {"commit": args.startpoint}
             print(repo.remote.fetch_data(args.remote, **at, column_names=args.column, retrieve_all_history=args.all_history))
         case "push":
-            print(repo.remote.push(args.remote, args.branch))
+            print(repo.remote.push(args.remote, args.branch, username=args.username, password=args.password))
         case "remote-list":
             print(repo.remote.list_all())
         case "remote-add":

@@ -2,44 +2,119 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import random
+import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-
-from ..operators import access
+from pyspark.sql import Column as Col
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.keys import decode_key, encode_key
+from ..functions.sizes import BoundedDict
+from ..functions.tensors import from_row
+from ..operators import access, algebra
 from .columns import Column
 
 
 class RowDataset:
-    """Rows of columns with equal keys, or of explicit keys (one, or one for each column)."""
+    """Rows of columns with equal keys, or of explicit keys (one, or one for each column).
+
+    On first use the rows are joined once and written in order to a folder of the repository, which goes with the
+    dataset; iterations stream it, one job each, and rows by number come in blocks of BLOCK, the last few of which are kept.
+    """
+
+    BLOCK, KEPT, ROWS_PER_FILE = 1024, 8, 50_000
 
     def __init__(self, columns: Sequence[Column] | Column, keys: Sequence | None = None):
         self.columns = [columns] if isinstance(columns, Column) else list(columns)
         if not self.columns:
             raise TypeError("name one column at least")
+        self._store, self._written, self._blocks = self.columns[0]._co.store, None, BoundedDict(maxsize=self.KEPT)
+        names = [f"{x}{i}" for i in range(len(self.columns)) for x in ("s", "u")]
         if keys is None:
             first = self.columns[0].records().select("sample_key").distinct()
             for other in self.columns[1:]:
                 if access.key_mismatch(first, other.records().select("sample_key").distinct(), ["sample_key"]).take(1):
                     raise KeyError(f"columns {self.columns[0].column!r} and {other.column!r} have different keys")
-            keys = self.columns[0].keys()
-        self.keys = [k if isinstance(k, tuple) and len(k) == len(self.columns) and len(self.columns) > 1 else (k,) * len(self.columns) for k in keys]
+            rows = algebra.numbered(first, ["sample_key"])
+            self._asked = rows.select("position", *[F.col("sample_key").alias(n) if n[0] == "s" else F.lit(None).cast("string").alias(n) for n in names])
+            self._n = first.count()
+        else:
+            many = len(self.columns) > 1
+            paths = [k if many and isinstance(k, tuple) and len(k) == len(self.columns) else (k,) * len(self.columns) for k in keys]
+            rows = [(i, *(x for k in p for x in self._path(k))) for i, p in enumerate(paths)]
+            self._asked = self._store.spark.createDataFrame(rows, "position long, " + ", ".join(f"{n} string" for n in names))
+            self._n = len(rows)
+
+    @staticmethod
+    def _path(key) -> tuple[str, str | None]:
+        """Stored sample and subsample key; the latter None for a flat column or a whole sample."""
+        return (encode_key(key[0]), encode_key(key[1])) if isinstance(key, tuple) else (encode_key(key), None)
 
     def __len__(self) -> int:
-        return len(self.keys)
-
-    def rows(self, order: Sequence[int]) -> list[tuple]:
-        """Rows of these numbers, each column's values fetched in one join."""
-        parts = []
+        return self._n
+
+    def table(self) -> DataFrame:
+        """position and, for each column i, its keys s<i>, u<i> and values v<i>: (subsample_key, kind, dtype, shape, data, text) each."""
+        if self._written is None:
+            out = self._asked
+            for i, col in enumerate(self.columns):
+                value = F.struct("subsample_key", F.col("value_kind").alias("kind"), "dtype", "shape", "data", "text")
+                values = col.dataframe()
+                if col.contains_subsamples:
+                    own = values.groupBy(F.col("sample_key").alias(f"s{i}")).agg(F.array_sort(F.collect_list(value)).alias(f"v{i}"))
+                else:
+                    own = values.select(F.col("sample_key").alias(f"s{i}"), F.array(value).alias(f"v{i}"))
+                out = out.join(own, f"s{i}", "left")
+                if col.contains_subsamples:
+                    out = out.withColumn(f"v{i}", F.when(F.col(f"u{i}").isNull(), F.col(f"v{i}")).otherwise(_only(f"v{i}", F.col(f"u{i}"))))
+            name = f"work/dataset-{uuid.uuid4().hex}"
+            out.repartitionByRange(max(1, self._n // self.ROWS_PER_FILE), "position").sortWithinPartitions("position").write.parquet(self._store.files.at(name))
+            self._gone = weakref.finalize(self, _forget, self._store.files, name)
+            written = self._store.spark.read.schema(out.schema).parquet(self._store.files.at(name))
+            for i, col in enumerate(self.columns):
+                if bad := written.where(F.coalesce(F.size(f"v{i}"), F.lit(0)) < 1).select(f"s{i}", f"u{i}").take(1):
+                    raise KeyError(tuple(decode_key(k) for k in bad[0] if k))
+                if bad := written.where(F.exists(f"v{i}", lambda v: v["kind"].isNull())).select(f"s{i}").take(1):
+                    raise FileNotFoundError(f"the value of {col.column!r} {decode_key(bad[0][0])!r} is on a remote; fetch its data first")
+            self._written = written
+        return self._written
+
+    def _row(self, r) -> tuple:
+        out = []
         for i, col in enumerate(self.columns):
-            asked = [(col.column, *(k if isinstance(k, tuple) else (k,))) for k in (self.keys[n][i] for n in order)]
-            values = col._co._batched(asked, None, strict=True)
-            parts.append([v.data if hasattr(v, "data") and hasattr(v, "sample") else v for v in values])
-        return list(zip(*parts, strict=True))
+            values = {decode_key(v["subsample_key"]) if v["subsample_key"] else "": from_row(v["kind"], v["dtype"], v["shape"], v["data"], v["text"]) for v in r[f"v{i}"]}
+            out.append(values if col.contains_subsamples and r[f"u{i}"] is None else next(iter(values.values())))
+        return tuple(out)
+
+    def stream(self, seed: int | None = None) -> Iterator[tuple]:
+        """All rows in order, or in one drawn by the seed; the driver holds one range of them at a time."""
+        order = [F.col("position")] if seed is None else [F.xxhash64("position", F.lit(seed)), F.col("position")]
+        return map(self._row, self.table().orderBy(*order).toLocalIterator(prefetchPartitions=True))
 
     def index_get(self, index: int) -> tuple:
-        return self.rows([index])[0]
+        if not -self._n <= index < self._n:
+            raise IndexError(index)
+        index %= self._n
+        low = index - index % self.BLOCK
+        if low not in self._blocks:
+            rows = self.table().where(F.col("position").between(low, low + self.BLOCK - 1)).collect()
+            self._blocks[low] = {r["position"]: self._row(r) for r in rows}
+        return self._blocks[low][index]
+
+
+def _only(values: str, subsample: Col) -> Col:
+    return F.filter(values, lambda v: v["subsample_key"] == subsample)
+
+
+def _forget(files, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the dataset
+        files.delete(name)
 
 
 def default_collate(batch: list) -> object:
@@ -54,8 +129,6 @@ def default_collate(batch: list) -> object:
 class NumpyDataset:
     """Iterates rows, or batches of ``batch_size``; each iteration shuffles anew unless told not to."""
 
-    CHUNK = 1024
-
     def __init__(self, dataset: RowDataset, batch_size: int | None, drop_last: bool, shuffle: bool, collate_fn: Callable | None):
         if batch_size is None and collate_fn is not None:
             raise RuntimeError("a collate function needs a batch size")
@@ -73,17 +146,13 @@ class NumpyDataset:
         return len(self.dataset)
 
     def __iter__(self) -> Iterator:
-        order = list(range(len(self.dataset)))
-        if self.shuffle:
-            random.shuffle(order)
-        size = self.batch_size or self.CHUNK
-        for at in range(0, len(order), size):
-            rows = self.dataset.rows(order[at : at + size])
-            rows = [r[0] if len(r) == 1 else r for r in rows]
-            if self.batch_size is None:
-                yield from rows
-            elif len(rows) == size or not self._drop:
-                yield self._collate(rows)
+        rows = (r[0] if len(r) == 1 else r for r in self.dataset.stream(random.getrandbits(31) if self.shuffle else None))
+        if self.batch_size is None:
+            yield from rows
+            return
+        for batch in itertools.batched(rows, self.batch_size):
+            if len(batch) == self.batch_size or not self._drop:
+                yield self._collate(list(batch))
 
 
 def make_numpy_dataset(columns, keys=None, batch_size: int | None = None, drop_last: bool = False, shuffle: bool = True, collate_fn: Callable | None = None) -> NumpyDataset:

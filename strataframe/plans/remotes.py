@@ -1,4 +1,7 @@
-"""Remotes: other repositories' folders. Fetch and push are anti-joins and appends between two stores; the head moves last."""
+"""Remotes: other repositories' folders or servers. Fetch and push are anti-joins and appends between two sides; the head moves last.
+
+Both hold the writer's lock of the side they write to, so no value is stored twice beside a commit.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import check_name, encode_key
 from ..operators import access, algebra, history
-from ..sources.store import Store
+from ..service.peers import ServerPeer, StoragePeer, peer
 
 
 class Remotes:
@@ -39,14 +42,11 @@ class Remotes:
     def list_all(self) -> list[tuple[str, str]]:
         return sorted(self._all().items())
 
-    def _open(self, name: str) -> Store:
+    def _open(self, name: str, username: str = "", password: str = "") -> StoragePeer | ServerPeer:
         remotes = self._all()
         if name not in remotes:
             raise ValueError(f"no remote {name!r}")
-        other = Store(self.store.spark, remotes[name])
-        if not other.files.exists("state.json"):
-            raise ConnectionError(f"no repository at {remotes[name]}")
-        return other
+        return peer(self.store.spark, remotes[name], username, password)
 
     def ping(self, name: str) -> float:
         began = time.perf_counter()
@@ -70,20 +70,22 @@ class Remotes:
         if mine and mine not in history.ancestors(parents, theirs) and theirs in history.ancestors(self.store.parents(), mine):
             warnings.warn(f"REJECTED: {name} is ahead of the remote", UserWarning, stacklevel=2)
             return name
-        wanted = [c for c in history.ancestors(parents, theirs) if c not in self.store.commits()]
-        for digest, schema in other.schemas().items():
-            if digest not in self.store.schemas():
-                self.store.put_schema(schema)
-        if wanted:
-            records = other.all_refs().where(F.col("commit").isin(wanted))
-            schema_of = records.where("kind = 's'").groupBy("commit", "col").agg(F.max("digest").alias("schema_digest"))
-            known = records.where("kind <> 's'").join(schema_of, ["commit", "col"]).groupBy("digest").agg(F.max_by("schema_digest", "col").alias("schema_digest"))
-            away = known.join(self.store.objects().select("digest"), "digest", "left_anti")
-            self.store.append_remote_refs(away.withColumn("remote", F.lit(remote)))
-            for c in reversed(wanted):
-                self.store.write_refs(c, other.refs(c))
-                self.store.put_commit(c, other.commits()[c])
-        self.store.set_heads(self.store.heads() | {name: theirs})
+        with self.store.locked("fetch"):
+            wanted = [c for c in history.ancestors(parents, theirs) if c not in self.store.commits()]
+            for digest, schema in other.schemas().items():
+                if digest not in self.store.schemas():
+                    self.store.put_schema(schema)
+            if wanted:
+                with self.store.work(other.records(wanted)) as records:
+                    schema_of = records.where("kind = 's'").groupBy("commit", "col").agg(F.max("digest").alias("schema_digest"))
+                    known = records.where("kind <> 's'").join(schema_of, ["commit", "col"]).groupBy("digest").agg(F.max_by("schema_digest", "col").alias("schema_digest"))
+                    away = known.join(self.store.objects().select("digest"), "digest", "left_anti")
+                    self.store.append_remote_refs(away.withColumn("remote", F.lit(remote)))
+                    self.store.add_refs(records)
+                commits = other.commits()
+                for c in reversed(wanted):
+                    self.store.put_commit(c, commits[c])
+            self.store.set_heads(self.store.heads() | {name: theirs})
         return name
 
     def _commit(self, remote: str, branch: str | None, commit: str | None) -> str:
@@ -96,17 +98,11 @@ class Remotes:
         raise ValueError(f"no branch {branch!r}; fetch it first")
 
     def _get(self, remote: str, records: DataFrame) -> int:
-        """Copy the values of records that are not here, each checked against its digest."""
-        from ..functions.digests import object_digest
-
+        """Copy the values of records that are not here, each checked against its digest; how many they were."""
         other = self._open(remote)
-        wanted = algebra.missing(records.where("kind <> 's'"), self.store.objects())
-        rows = other.objects().join(wanted, "digest", "left_semi")
-        if bad := rows.where(object_digest(F.col("kind")) != F.col("digest")).select("digest").take(1):
-            raise RuntimeError(f"value {bad[0][0]} arrived damaged")
-        before = self.store.objects().count()
-        self.store.append_objects(rows)
-        return self.store.objects().count() - before
+        with self.store.locked("fetch"):
+            wanted = algebra.missing(records.where("kind <> 's'"), self.store.objects())
+            return self.store.append_objects(other.values(wanted), check=True)
 
     def fetch_data(self, remote: str, branch: str | None = None, commit: str | None = None, *, column_names: list[str] | None = None, retrieve_all_history: bool = False) -> list[str]:
         """Values of a commit, or of all it descends from; of all columns or those named. Unknown names are left out."""
@@ -147,9 +143,9 @@ class Remotes:
 
     # Push.
 
-    def push(self, remote: str, branch: str) -> str:
-        """Schemas, values, commits, then the head. Refused where the remote has commits that are not here."""
-        other = self._open(remote)
+    def push(self, remote: str, branch: str, *, username: str = "", password: str = "") -> str:
+        """Schemas, values, commits, then the head. Refused where the remote has commits that are not here; a server may ask for credentials."""
+        other = self._open(remote, username, password)
         heads = self.store.heads()
         if branch not in heads:
             raise ValueError(f"no branch {branch!r}")
@@ -161,20 +157,21 @@ class Remotes:
         if theirs and theirs not in own:
             warnings.warn(f"REJECTED: {remote!r} has commits of {branch!r} that are not here", UserWarning, stacklevel=2)
             return branch
-        new = [c for c in own if c not in other.commits()]
-        for digest, schema in self.store.schemas().items():
-            if digest not in other.schemas():
-                other.put_schema(schema)
-        if new:
-            records = self.store.all_refs().where(F.col("commit").isin(new))
-            wanted = algebra.missing(records.where("kind <> 's'"), other.objects())
-            rows = self.store.objects().join(wanted, "digest", "left_semi")
-            if lost := wanted.join(self.store.objects().select("digest"), "digest", "left_anti").take(1):
-                raise FileNotFoundError(f"value {lost[0][0]} is neither here nor at {remote!r}; fetch its data first")
-            other.append_objects(rows)
-            for c in reversed(new):
-                other.write_refs(c, self.store.refs(c))
-                other.put_commit(c, self.store.commits()[c])
-        other.set_heads(other.heads() | {branch: mine})
+        with other.locked("push"):
+            there, known = other.commits(), other.schemas()
+            new = [c for c in own if c not in there]
+            for digest, schema in self.store.schemas().items():
+                if digest not in known:
+                    other.put_schema(schema)
+            if new:
+                records = StoragePeer(self.store).records(new)
+                with self.store.work(other.missing(records.where("kind <> 's'").select("digest"))) as wanted:
+                    if lost := wanted.join(self.store.objects().select("digest"), "digest", "left_anti").take(1):
+                        raise FileNotFoundError(f"value {lost[0][0]} is neither here nor at {remote!r}; fetch its data first")
+                    other.take_values(self.store.objects().join(wanted, "digest", "left_semi"))
+                other.take_records(records)
+                for c in reversed(new):
+                    other.put_commit(c, self.store.commits()[c])
+            other.move_head(branch, theirs, mine)
         self.store.set_heads(self.store.heads() | {f"{remote}/{branch}": mine})
         return branch

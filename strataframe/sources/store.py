@@ -11,6 +11,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,8 +110,17 @@ class Store:
             rows.select("kind", "col", "sample_key", "subsample_key", "digest").write.mode("overwrite").parquet(self.files.at(to))
 
     def add_refs(self, rows: DataFrame) -> None:
-        """Snapshots of many commits (the columns of REFS and commit) in one job."""
-        rows.select("kind", "col", "sample_key", "subsample_key", "digest", "commit").write.mode("append").partitionBy("commit").parquet(self.files.at("refs"))
+        """Snapshots of many commits (the columns of REFS and commit), written in one job and moved into their places."""
+        name = f"work/{uuid.uuid4().hex}"
+        try:
+            rows.select("kind", "col", "sample_key", "subsample_key", "digest", "commit").write.partitionBy("commit").parquet(self.files.at(name))
+            for folder in self.files.names(name):
+                if folder.startswith("commit="):
+                    to = f"refs/{unquote(folder)}"
+                    self.files.delete(to)
+                    self.files.rename(f"{name}/{folder}", to)
+        finally:
+            self.files.delete(name)
 
     # The writer's lock.
 

@@ -98,3 +98,30 @@ def test_blake2b_udf(spark):
 
     got = spark.createDataFrame([(b"x",), (None,)], "d binary").select(digests.blake2b_udf("3")("d").alias("h")).collect()
     assert got[0].h == "3=" + hashlib.blake2b(b"x", digest_size=20).hexdigest() and got[1].h is None
+
+
+def test_versions_are_ordered():
+    from strataframe.functions.versions import Version, can_read
+
+    order = ["0.9.dev1", "0.9", "1.0.dev1", "1.0a1.dev2", "1.0a1", "1.0a2", "1.0b1", "1.0rc1", "1.0", "1.0+a.1", "1.0+1", "1.0.post1.dev1", "1.0.post1", "1.0.1", "1.10", "1!0.1"]
+    made = [Version.parse(v) for v in order]
+    assert sorted(reversed(made)) == made and [str(v) for v in made] == order
+    assert Version.parse("v1.0-ALPHA.1") == Version.parse("1a1") and Version.parse("1.0") == Version.parse("1.0.0") and str(Version.parse("1.0-3")) == "1.0.post3"
+    assert Version.parse("1.0rc1").is_prerelease and not Version.parse("1.0.post1").is_prerelease
+    with pytest.raises(ValueError):
+        Version.parse("one")
+    assert can_read("0.2.0") and not can_read("0.1.5", [("0.1", "0.2")])
+
+
+def test_bounded_dict_and_primes():
+    d = sizes.BoundedDict({"a": 1, "b": 2}, maxsize=2)
+    d["a"] = 3
+    assert d["a"] == 3 and d.setdefault("c", 4) == 4 and dict(d) == {"b": 2, "c": 4}
+    assert [sizes.next_prime(n) for n in (-1, 2, 3, 4, 14, 100, 7919)] == [2, 2, 3, 5, 17, 101, 7919]
+
+
+def test_ecosystem():
+    from strataframe.plans.reports import ecosystem
+
+    got = ecosystem()
+    assert got["packages"]["pyspark"] and got["host"]["python"] and "torch" in got["optional"]

@@ -124,3 +124,22 @@ def test_integrity(spark):
     commits = spark.createDataFrame([("a", []), ("b", ["a", "x"])], "digest string, parents array<string>")
     assert rows(integrity.parents_missing(commits), "digest", "parent") == {("b", "x")}
     assert rows(integrity.roots(commits), "digest") == {("a",)}
+
+
+def test_parts_are_even_on_a_hot_first_column(spark):
+    """Half of the rows have one first key, text keys many duplicates: no part holds much more than its share."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"), "id")
+    bounds = algebra.range_bounds(df, ["k", "id"], 16, 40_000)
+    sizes = [r["count"] for r in df.groupBy(algebra.range_part(df, ["k", "id"], bounds).alias("p")).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+    got = algebra.numbered(df, ["k", "id"], parts=16).orderBy("k", "id").select("position").collect()
+    assert [r.position for r in got] == list(range(40_000))
+    nulls = spark.range(100).select(F.when(F.col("id") > 50, F.col("id")).alias("a"), "id")
+    assert sorted(r.position for r in algebra.numbered(nulls, ["a", "id"], parts=4).collect()) == list(range(100))
+
+
+def test_long_and_wide_graphs(spark):
+    line = spark.range(1, 3000).select(F.col("id").cast("string").alias("digest"), (F.col("id") - 1).cast("string").alias("parent"))
+    assert history.ancestors_table(spark, line, "2999").count() == 3000
+    ladder = line.unionByName(spark.range(2, 3000).select(F.col("id").cast("string").alias("digest"), (F.col("id") - 2).cast("string").alias("parent")))
+    assert history.ancestors_table(spark, ladder, "2999").count() == 3000

@@ -1,15 +1,23 @@
+import gc
+import json
+import os
+import threading
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strataframe import cli
 from strataframe.plans import reports
-from strataframe.plans.datasets import make_numpy_dataset, make_torch_dataset
-from strataframe.plans.importer import Output, import_files, run_bulk_import
+from strataframe.plans.datasets import RowDataset, make_numpy_dataset, make_torch_dataset
+from strataframe.plans.importer import Output, export_files, import_files, load_numpy, run_bulk_import
 from strataframe.plans.repository import Repository
+from strataframe.service import peers, wire
+from strataframe.service.server import serve
 from strataframe.session import ship
+from strataframe.sources.store import REFS
 from strataframe.streaming.commits import commit_batches
 
 
@@ -358,3 +366,142 @@ def test_init_rules(repo, spark, tmp_path):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert repo.verify_repo_integrity()
+
+
+def test_datasets_by_number_and_subsample(filled):
+    co = filled.checkout()
+    rows = RowDataset(co["texts"])
+    assert len(rows) == 2 and rows.index_get(0) == ({1: "a", 2: "b", "x": "c"},) and rows.index_get(-1) == ({1: "d"},)
+    assert list(RowDataset(co["texts"], keys=[(0, "x"), (0, 1), "s"]).stream()) == [("c",), ("a",), ({1: "d"},)]
+    with pytest.raises(KeyError):
+        RowDataset(co["arrays"], keys=["none"]).index_get(0)
+    with pytest.raises(IndexError):
+        rows.index_get(2)
+    folder = f"{filled.path}/work"
+    gc.collect()
+    assert len(os.listdir(folder)) == 1
+    del rows
+    gc.collect()
+    assert not os.listdir(folder)
+    a, b = ([r[0][0, 0] for r in RowDataset(co["arrays"]).stream(s)] for s in (1, 1))
+    assert a == b and sorted(a) == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 100.0]
+
+
+def test_values_stream(filled):
+    a = filled.checkout()["arrays"]
+    assert len(a.values()) == 7 and [v[0, 0] for v in a.values()][:2] == [100.0, 0.0]
+    assert [k for k, _ in a.items()] == a.keys() and next(iter(a.items()))[0] == 1
+
+
+def test_a_key_given_twice_is_refused(filled, spark):
+    row = lambda k, t: (k, "", "str", None, None, None, t)
+    schema = "sample_key string, subsample_key string, kind string, dtype string, shape array<int>, data binary, text string"
+    co = filled.checkout(write=True)
+    c = co.add_str_column("once")
+    with pytest.raises(ValueError, match="2 rows"):
+        c.update_dataframe(spark.createDataFrame([row("a", "x"), row("b", "y"), row("a", "z")], schema))
+    assert len(c) == 0
+    c.update_dataframe(spark.createDataFrame([row("a", "x")], schema).withColumn("text", F.concat("text", F.expr("cast(rand() AS string)"))))
+    co.commit("drawn values are stored as they are named")
+    co.close()
+    assert filled.checkout()["once"]["a"].startswith("x") and filled.verify_repo_integrity()
+
+
+def test_equal_keys_of_files_go_by_path(filled, tmp_path):
+    tmp_path = tmp_path / "files"
+    tmp_path.mkdir()
+    for name in ("b", "a", "c"):
+        np.save(tmp_path / f"{name}.npy", np.full((2, 3), float(ord(name))))
+    np.savez(tmp_path / "z.npz", one=np.zeros((2, 3)), two=np.ones((2, 3)))
+    assert import_files(filled, "master", "arrays", str(tmp_path), lambda p, c: ((v, "same") for v, _ in load_numpy(p, c)), pattern="*.npy") == 1
+    assert import_files(filled, "master", "arrays", str(tmp_path), load_numpy, pattern="*.npz") == 2
+    assert import_files(filled, "master", "texts", str(tmp_path), lambda p, c: [(p[-1], ("n", 1)), ("late", ("n", 2))], pattern="*.npy") == 2
+    change(filled, "master", lambda co: None)
+    co = filled.checkout()
+    assert co["arrays"]["same"][0, 0] == ord("c") and co["arrays"]["two"][0, 0] == 1 and co["texts"]["n"].data == {1: "y", 2: "late"}
+    out = tmp_path / "out"
+    out.mkdir()
+    assert export_files(co, "texts", lambda v, path, key: open(path, "w").write(v), str(out)) == 6
+    assert (out / "int:0-str:x").read_text() == "c" and (out / "str:n-int:2").read_text() == "late"
+    assert export_files(co, "arrays", lambda v, path, key: np.save(path, v), str(out), sample=1) == 1
+
+
+def test_damaged_records_are_not_read(filled, spark):
+    head = filled.store.heads()["master"]
+    assert len(filled.checkout(verify=True)) == 2
+    refs = filled.store.refs(head).where("sample_key <> '3'").collect()
+    spark.createDataFrame(refs, REFS).coalesce(1).write.mode("overwrite").parquet(f"{filled.path}/refs/commit={head}")
+    with pytest.raises(OSError):
+        filled.checkout(verify=True)
+    filled.store.files.write(f"commits/{head}.json", "{}")
+    fresh = Repository(spark, filled.path)
+    with pytest.raises(RuntimeError, match="can't be parsed"):
+        fresh.verify_repo_integrity()
+
+
+def test_merge_names_few_conflicts(filled):
+    filled.create_branch("dev")
+    for branch, value in (("master", 7.0), ("dev", 8.0)):
+        change(filled, branch, lambda co, v=value: co["arrays"].update({f"k{i}": np.full((2, 3), v) for i in range(100)}))
+    with pytest.raises(ValueError, match=r"'t1': 100") as e:
+        filled.merge("no", "master", "dev")
+    assert str(e.value).count("('t1'") == 20 and not filled.store.files.names("work")
+
+
+@pytest.fixture
+def served(filled):
+    server = serve(filled.path, username="u", password="p")
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    yield filled, f"http://127.0.0.1:{server.server_address[1]}"
+    server.shutdown()
+    server.server_close()
+
+
+def test_a_served_remote(served, spark, tmp_path):
+    there, address = served
+    mine = Repository(spark, str(tmp_path / "mine"))
+    mine.clone("me", "me@example.org", address)
+    assert mine.remote.ping("origin") >= 0 and mine.store.heads()["master"] == there.store.heads()["master"]
+    mine.remote.fetch_data_sample("origin", "texts", [(0, 1)], branch="master")
+    assert mine.checkout()["texts"][0].keys(local=True) == [1]
+    mine.remote.fetch_data("origin", branch="master")
+    assert mine.checkout()["arrays"]["1"][0, 0] == 1.0 and mine.verify_repo_integrity()
+    change(mine, "master", lambda co: (co["texts"].update({"z": {1: "pushed"}}), co["arrays"].update({"z": np.full((2, 3), 9.0)})))
+    change(mine, "master", lambda co: co["texts"].update({"z": {2: "again"}}))
+    with pytest.raises(PermissionError):
+        mine.remote.push("origin", "master", username="u", password="wrong")
+    with pytest.raises(PermissionError):
+        mine.remote.push("origin", "master")
+    assert mine.remote.push("origin", "master", username="u", password="p") == "master"
+    there = Repository(spark, there.path)
+    assert there.checkout()["texts", "z", 2] == "again" and there.checkout()["arrays"]["z"][0, 0] == 9.0 and there.verify_repo_integrity()
+    with pytest.warns(UserWarning, match="NoOp"):
+        mine.remote.push("origin", "master", username="u", password="p")
+
+
+def test_a_server_refuses_what_is_damaged(served):
+    there, address = served
+    secret = wire.credentials("u", "p")
+    put = lambda path, body: peers.call(address, "PUT", path, body, secret)
+    row = {"digest": "2=" + "0" * 64, "kind": "str", "dtype": None, "shape": None, "data": None, "text": "x", "nbytes": 1}
+    with pytest.raises(RuntimeError, match="damaged"):
+        put("values", wire.pack(pa.Table.from_pylist([row], wire.VALUES)))
+    head = there.store.heads()["master"]
+    with pytest.raises(RuntimeError, match="damaged"):
+        put("commits/a=0", json.dumps(there.store.commits()[head] | {"parents": []}).encode())
+    with pytest.raises(ConnectionError, match="moved"):
+        put("heads/master", json.dumps({"seen": "", "to": head}).encode())
+    with pytest.raises(ConnectionError):
+        put("nothing", b"{}")
+    with pytest.raises(ConnectionError):
+        peers.ServerPeer(there.spark, "http://127.0.0.1:9")
+
+
+def test_messages_are_bounded():
+    rows = [{"digest": str(i), "kind": "str", "dtype": None, "shape": None, "data": None, "text": "x", "nbytes": 9_000_000 if i % 2 else 1} for i in range(3000)]
+    got = list(wire.messages(pa.Table.from_pylist(rows, wire.VALUES).to_batches(), wire.VALUES))
+    assert [d for t in got for d in t["digest"].to_pylist()] == [str(i) for i in range(3000)]
+    assert all(t.num_rows <= wire.ROWS and (t.num_rows == 1 or sum(t["nbytes"].to_pylist()) <= wire.BYTES) for t in got)
+    one = pa.Table.from_pylist(rows[:3], wire.VALUES)
+    assert wire.unpack(wire.pack(one)).equals(one)
