@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, keys, tensors
+from ..functions.schemas import ColumnSchema
 from ..operators import access, algebra, history, integrity
 from ..session import ship
 from .repository import Repository
@@ -20,6 +21,7 @@ from .repository import Repository
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def query(name: str, sql: str) -> Callable[[Query], Query]:
@@ -88,17 +90,18 @@ def diff_ff_vs_diverged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(algebra.diff_counts(algebra.diff(theirs, mine, ["k"])).select(F.lit("diverged").alias("direction"), "change", "n"))
 
 
-_SQL_SCHEMAS = """WITH base(col, d) AS (VALUES ('a', '1=x'), ('b', '1=y'), ('c', '1=z')), head(col, d) AS (VALUES ('b', '1=y'), ('c', '1=w'), ('d', '1=v'))
+_SQL_SCHEMAS = """WITH base AS (SELECT p_type AS col, '1=' || sha256(min(p_brand)) AS d FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_type),
+head AS (SELECT p_type AS col, '1=' || sha256(min(p_brand)) AS d FROM part WHERE p_partkey % 5 <> 0 GROUP BY p_type)
 SELECT coalesce(b.col, h.col) AS col, CASE WHEN b.col IS NULL THEN 'added' WHEN h.col IS NULL THEN 'deleted' ELSE 'mutated' END AS change, coalesce(h.d, b.d) AS digest
 FROM base b FULL OUTER JOIN head h ON b.col = h.col WHERE b.d IS DISTINCT FROM h.d"""
 
 
 @query("diff_schema_changes", _SQL_SCHEMAS)
 def diff_schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schema records are diffed as all others."""
-    base = spark.createDataFrame([("a", "1=x"), ("b", "1=y"), ("c", "1=z")], "col string, digest string")
-    head = spark.createDataFrame([("b", "1=y"), ("c", "1=w"), ("d", "1=v")], "col string, digest string")
-    return algebra.diff(base, head, ["col"])
+    """Schema records, one for each type of part, are diffed as all others."""
+    p = _t(spark, sf_dir, "part")
+    schemas = lambda rows: rows.groupBy(F.col("p_type").alias("col")).agg(F.concat(F.lit("1="), F.sha2(F.min("p_brand"), 256)).alias("digest"))
+    return algebra.diff(schemas(p.where("p_partkey % 3 <> 0")), schemas(p.where("p_partkey % 5 <> 0")), ["col"])
 
 
 _SQL_THREE = _SQL_VERSIONS + """, three AS (
@@ -123,7 +126,7 @@ def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return algebra.conflicts(*_three(spark, sf_dir), ["k"]).groupBy("conflict").agg(F.count("*").alias("n"))
 
 
-@query("merge_three_way", _SQL_THREE + "SELECT k, digest FROM (SELECT k, CASE WHEN t IS DISTINCT FROM b AND k NOT IN (SELECT k FROM clash) THEN t ELSE m END AS digest FROM three) WHERE digest IS NOT NULL")
+@query("merge_three_way", _SQL_THREE + "SELECT k, digest FROM (SELECT k, CASE WHEN t IS DISTINCT FROM b AND (m IS NOT DISTINCT FROM b OR m IS NOT DISTINCT FROM t) THEN t ELSE m END AS digest FROM three) WHERE digest IS NOT NULL")
 def merge_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Theirs where only they changed a key, else mine; keys in conflict keep mine here, where a repository would refuse."""
     return algebra.merge(*_three(spark, sf_dir), ["k"])
@@ -233,11 +236,17 @@ def key_valid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", keys.legal(F.col("p_name")).alias("name_legal"), keys.legal(F.col("p_brand")).alias("brand_legal"))
 
 
-@query("schema_violations", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 5000 THEN 'text too long' END AS violation FROM documents")
+@query("schema_violations", """SELECT 'text ' || CAST(doc_id AS VARCHAR) AS row, CASE WHEN n_chars % 7 = 0 THEN 'no value' END AS violation FROM documents
+UNION ALL SELECT 'vector ' || CAST(vec_id AS VARCHAR), CASE WHEN vec_id % 5 = 0 THEN 'element type' WHEN vec_id % 3 = 0 THEN 'shape over the largest' END FROM embeddings""")
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The check of a text column, with a smaller limit than the engine's so that some rows fail."""
-    d = _t(spark, sf_dir, "documents")
-    return d.select("doc_id", F.when(F.octet_length("text") > 5000, "text too long").alias("violation"))
+    """The checks of a text column and of a tensor column on rows some of which lack a value, are too long or of another type."""
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("dtype", "string"), ("shape", "array<int>"), ("data", "binary"))]
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("text "), "doc_id").alias("row"), F.lit("str").alias("kind"), *none, F.when(F.col("n_chars") % 7 != 0, F.col("text")).alias("text"))
+    e = _t(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("vector "), "vec_id").alias("row"), F.lit("ndarray").alias("kind"), F.when(F.col("vec_id") % 5 == 0, "float64").otherwise("float32").alias("dtype"),
+        F.when(F.col("vec_id") % 3 == 0, F.array(F.lit(65))).otherwise(F.array(F.lit(64))).alias("shape"), F.lit(b"").alias("data"), F.lit(None).cast("string").alias("text"))
+    texts, vectors = ColumnSchema("str"), ColumnSchema("ndarray", dtype="float32", shape=(64,))
+    return d.select("row", texts.violation().alias("violation")).unionByName(e.select("row", vectors.violation().alias("violation")))
 
 
 # --- lookups ----------------------------------------------------------------------------------------------------
@@ -246,9 +255,10 @@ _ASKED = [(0, 7), (1, 3), (2, 999_999_999), (3, 7), (4, 32)]
 _VALUES = ", ".join(f"({p}, {k})" for p, k in _ASKED)
 
 
-@query("point_lookup", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
+@query("point_lookup", "SELECT '#' || CAST(o_orderkey AS VARCHAR) AS sample_key, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "orders").where("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_orderstatus")
+    values = _t(spark, sf_dir, "orders").select(keys.encoded(F.col("o_orderkey"), True).alias("sample_key"), "o_custkey", "o_orderstatus")
+    return access.point(values, keys.encode_key(7))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,31 +380,42 @@ def batches_drop_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- history ----------------------------------------------------------------------------------------------------
 
-_DAG = {"c0": [], "c1": ["c0"], "c2": ["c1"], "c3": ["c1"], "c4": ["c2", "c3"], "c5": ["c3"], "c6": ["c4"]}
-_TIMES = {c: float(i) for i, c in enumerate(_DAG)}
-_EDGES = ", ".join(f"('{c}', '{p}')" for c, ps in _DAG.items() for p in ps)
-_ALL = ", ".join(f"('{c}', {t})" for c, t in _TIMES.items())
+# Parts as commits: part k was made from parts k / 2 and k / 3, at time k.
+_SQL_EDGES = "e(c, p) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3)"
+_SQL_WALK = "{0}(k) AS (SELECT (SELECT max(p_partkey) FROM part) - {1} UNION SELECT e.p FROM {0} JOIN e ON e.c = {0}.k)"
+
 
+def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    p = _t(spark, sf_dir, "part")
+    parents = F.array_distinct(F.filter(F.array(F.floor(F.col("p_partkey") / 2), F.floor(F.col("p_partkey") / 3)), lambda x: x >= 1))
+    edges = p.select(F.col("p_partkey").cast("string").alias("digest"), F.explode_outer(F.transform(parents, lambda x: x.cast("string"))).alias("parent"))
+    return edges, p.agg(F.max("p_partkey")).first()[0]
 
-@query("ancestors", f"WITH RECURSIVE e(c, p) AS (VALUES {_EDGES}), w(digest) AS (SELECT 'c6' UNION SELECT e.p FROM w JOIN e ON e.c = w.digest) SELECT digest FROM w")
+
+@query("ancestors", f"WITH RECURSIVE {_SQL_EDGES}, {_SQL_WALK.format('w', 0)} SELECT CAST(k AS VARCHAR) AS digest FROM w")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame([(c, p) for c, ps in _DAG.items() for p in ps], "digest string, parent string")
-    return history.ancestors_query(spark, edges, "c6")
+    edges, last = _edges(spark, sf_dir)
+    return history.ancestors_table(spark, edges, str(last))
 
 
-@query("common_ancestor", f"WITH RECURSIVE e(c, p) AS (VALUES {_EDGES}), t(c, time) AS (VALUES {_ALL}), a(digest) AS (SELECT 'c6' UNION SELECT e.p FROM a JOIN e ON e.c = a.digest), b(digest) AS (SELECT 'c5' UNION SELECT e.p FROM b JOIN e ON e.c = b.digest) SELECT a.digest FROM a JOIN b ON a.digest = b.digest JOIN t ON t.c = a.digest ORDER BY time DESC LIMIT 1")
+@query("common_ancestor", f"WITH RECURSIVE {_SQL_EDGES}, {_SQL_WALK.format('a', 0)}, {_SQL_WALK.format('b', 1)} SELECT CAST(max(k) AS VARCHAR) AS digest FROM (SELECT k FROM a INTERSECT SELECT k FROM b)")
 def common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(history.common_ancestor(_DAG, _TIMES, "c6", "c5"),)], "digest string")
+    edges, last = _edges(spark, sf_dir)
+    graph = history.parents_of(edges)
+    return spark.createDataFrame([(history.common_ancestor(graph, {c: float(c) for c in graph}, str(last), str(last - 1)),)], "digest string")
 
 
-@query("log_order", f"WITH RECURSIVE e(c, p) AS (VALUES {_EDGES}), t(c, time) AS (VALUES {_ALL}), w(digest) AS (SELECT 'c4' UNION SELECT e.p FROM w JOIN e ON e.c = w.digest) SELECT CAST(row_number() OVER (ORDER BY time DESC) - 1 AS BIGINT) AS position, digest FROM w JOIN t ON t.c = w.digest")
+@query("log_order", f"WITH RECURSIVE {_SQL_EDGES}, {_SQL_WALK.format('w', 1)} SELECT row_number() OVER (ORDER BY k DESC) - 1 AS position, CAST(k AS VARCHAR) AS digest FROM w")
 def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(history.log_order(_DAG, _TIMES, "c4"))), "position long, digest string")
+    edges, last = _edges(spark, sf_dir)
+    graph = history.parents_of(edges)
+    return spark.createDataFrame(list(enumerate(history.log_order(graph, {c: float(c) for c in graph}, str(last - 1)))), "position long, digest string")
 
 
-@query("head_branch_map", "WITH h(name, digest) AS (VALUES ('master', 'c6'), ('dev', 'c5'), ('old', 'c5'), ('origin/master', 'c6')) SELECT digest, string_agg(name, ',' ORDER BY name) AS names FROM h GROUP BY digest")
+@query("head_branch_map", "SELECT 'c' || CAST(c_nationkey AS VARCHAR) AS digest, string_agg(c_name, ',' ORDER BY c_name) AS names FROM customer GROUP BY c_nationkey")
 def head_branch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.head_names(spark.createDataFrame([("master", "c6"), ("dev", "c5"), ("old", "c5"), ("origin/master", "c6")], "name string, digest string"))
+    """Customers as branches, their nations as commits."""
+    return history.head_names(_t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.concat(F.lit("c"), "c_nationkey").alias("digest")))
 
 
 # --- integrity and reports --------------------------------------------------------------------------------------
@@ -407,9 +428,12 @@ def verify_refs_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.refs_without_object(refs, refs.where("doc_id % 50 <> 0"))
 
 
-@query("verify_parents_exist", "SELECT 'c9' AS digest, 'c8' AS parent")
+@query("verify_parents_exist", f"WITH {_SQL_EDGES} SELECT CAST(c AS VARCHAR) AS digest, CAST(p AS VARCHAR) AS parent FROM e WHERE p % 17 = 0 AND c % 17 <> 0")
 def verify_parents_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.parents_missing(spark.createDataFrame([*_DAG.items(), ("c9", ["c6", "c8"])], "digest string, parents array<string>"))
+    """Every seventeenth commit was lost."""
+    edges, _ = _edges(spark, sf_dir)
+    commits = edges.groupBy("digest").agg(F.collect_list("parent").alias("parents")).where("CAST(digest AS BIGINT) % 17 <> 0")
+    return integrity.parents_missing(commits)
 
 
 @query("verify_digest_mismatch", "SELECT '2=' || sha256(text) AS digest, '2=' || sha256(text || ' ') AS found FROM documents WHERE doc_id % 97 = 0")
@@ -438,12 +462,21 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repository(spark: SparkSession) -> Repository:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataframe-")
-    repo = Repository(ship(spark), f"{folder}/repository-{uuid.uuid4().hex}")
+    repo = Repository(ship(spark), _place(spark))
     repo.init("catalogue", "catalogue@example.org")
     return repo
 
 
+def _place(spark: SparkSession, what: str = "repository") -> str:
+    """A new path in the folder that driver and executors share; of this machine only if all runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="strataframe-"))
+    return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
 def _texts(rows: DataFrame, key: str, text: F.Column) -> DataFrame:
     none = [F.lit(None).cast(t).alias(n) for n, t in (("dtype", "string"), ("shape", "array<int>"), ("data", "binary"))]
     return rows.select(keys.encoded(F.col(key), True).alias("sample_key"), F.lit("").alias("subsample_key"), F.lit("str").alias("kind"), *none, text.alias("text"))
