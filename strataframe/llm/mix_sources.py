@@ -12,7 +12,8 @@ map side, and words before a document are those of the parts before its own (one
 it within the part. Only the columns to keep travel. The targets are worked out in one task on one small row a source, so the
 source must be a column of up to some millions of values, such as a crawl, a site or a kind of text.
 
-The document at a target's end is taken up to the target's word, so what a source gives is its target, rounded.
+The document at a target's end is taken up to the target's word, so what a source gives is its target, rounded;
+``mixed_documents``, whose texts stay whole, takes it in full or not at all, whichever is nearer.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a source, last in order; null ids and ties
 of the hash are ordered by id, size and a hash of the text; repeated rows are documents of their own; a very long text
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, n_words
+from .common import n_words
 
 #: Hash parts of each source: three hex digits.
 BUCKETS = 4096
@@ -110,18 +111,14 @@ def by_position(df: DataFrame, *ties: str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    lead = F.regexp_extract(text, f"^{SPACE}*", 0)
-    steps = F.regexp_extract_all(text, F.lit(f"{WORD}{SPACE}*"), F.lit(0))
-    return F.rtrim(F.concat(lead, F.array_join(F.slice(steps, 1, n.cast("int")), "")))
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The documents of the mix with the columns of ``docs``, in training order, one row a copy.
 
-
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The documents of the mix with the columns of ``docs``, in training order: one row a copy, the last of a source cut at its target."""
+    Texts stay whole: the copy at a source's target is in if half of its words or more are within the target. Null,
+    empty and blank texts have no words and are in no mix; repeated rows are documents of their own; an empty table
+    gives an empty result; columns of any name are returned as they are.
+    """
     out = mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")), keep=["whole", "doc_id"])
-    out = out.select("whole", "doc_id", "size", F.explode("positions").alias("copy")).select("whole", "doc_id", F.col("copy")["position"].alias("position"), F.col("copy")["words"].alias("words"), "size")
-    cut = F.when(F.col("words") < F.col("size"), first_words(F.col("whole")[text], F.col("words"))).otherwise(F.col("whole")[text])
-    out = by_position(out, "doc_id").withColumn("cut", cut)
-    made = {text: F.col("cut"), n_chars: F.length("cut").cast("long")}
-    return out.select(*[(made[c] if c in made else F.col("whole")[c]).alias(c) for c in docs.columns])
+    out = out.select("whole", "doc_id", "size", F.explode("positions").alias("copy")).where(2 * F.col("copy")["words"] >= F.col("size"))
+    out = by_position(out.select("whole", "doc_id", F.col("copy")["position"].alias("position")), "doc_id")
+    return out.select(*[F.col("whole")[c].alias(c) for c in docs.columns])

@@ -14,7 +14,8 @@ from .common import spread, table
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: counts of words, symbols, repeated lines and words, distances from the language's references, verdict."""
-    return quality_rules.judge(spread(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    out = quality_rules.judge(spread(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    return out.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,71 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+
+
+def _common_sql() -> str:
+    """Counts of each language's common words, in their plain, capitalized and upper-case forms, then of all other words."""
+    cases = []
+    for lang, listed in quality_rules.COMMON_WORDS.items():
+        forms = [sorted({w, w.capitalize(), *([w.upper()] if len(w) > 1 else [])}) for w in listed]
+        counts = ", ".join("len(list_filter(words, lambda x: x IN ({})))".format(", ".join(f"'{f}'" for f in own)) for own in forms)
+        cases.append(f"WHEN '{lang}' THEN [{counts}]")
+    return f"CASE language {' '.join(cases)} ELSE [] END"
+
+
+_LIMITS = quality_rules.LIMITS
+_QUALITY_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE '' END AS language,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT *, array_to_string(words, '') AS solid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, {_common_sql()} AS listed FROM d
+), g AS (
+  SELECT doc_id, unnest([{{'i': i, 'g': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]}} FOR i IN range(1, len(words) - 1)], recursive := true) FROM d
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id
+), f AS (
+  SELECT s.doc_id, language, CAST(len(words) AS BIGINT) AS n_words, CAST(length(solid) AS BIGINT) AS word_chars, length(t) AS n_chars,
+    CAST(length(regexp_replace(solid, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    length(t) - length(solid) AS c0, length(regexp_replace(solid, '[^a-z]+', '', 'g')) AS c1, length(regexp_replace(solid, '[^A-Z]+', '', 'g')) AS c2,
+    length(regexp_replace(solid, '[^0-9]+', '', 'g')) AS c3, length(regexp_replace(solid, '[^.,;:!?''"()\-]+', '', 'g')) AS c4, length(regexp_replace(solid, '[^\x00-\x7F]+', '', 'g')) AS ascii,
+    listed || [len(words) - coalesce(list_sum(listed), 0)] AS common
+  FROM s LEFT JOIN r ON s.doc_id = r.doc_id
+), b AS (
+  SELECT *, [c0, c1, c2, c3, c4, ascii - c1 - c2 - c3 - c4, word_chars - ascii] AS classes,
+    n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f
+), x AS (
+  SELECT doc_id, language, 'c' AS kind, n_chars >= {_LIMITS["min_chars"]} AND NOT base_failed AS usable, list_sum(classes) AS whole, unnest(classes) AS n, generate_subscripts(classes, 1) AS pos FROM b
+  UNION ALL SELECT doc_id, language, 'w', n_chars >= {_LIMITS["min_chars"]} AND NOT base_failed, list_sum(common), unnest(common), generate_subscripts(common, 1) FROM b WHERE language <> ''
+), p AS (
+  SELECT doc_id, language, kind, usable, pos, CASE WHEN whole > 0 THEN CAST(n AS DOUBLE) / whole ELSE 0 END AS p FROM x
+), one AS (
+  SELECT language, kind, pos, avg(p) AS q FROM p WHERE usable GROUP BY ALL
+), far AS (
+  SELECT doc_id, language, kind, any_value(usable) AS usable, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS distance
+  FROM p JOIN one USING (language, kind, pos) GROUP BY doc_id, language, kind
+), cuts AS (
+  SELECT language, kind, {quality_rules.TRIM} * avg(distance) AS cut FROM far WHERE usable GROUP BY language, kind
+), near AS (
+  SELECT doc_id FROM far JOIN cuts USING (language, kind) WHERE usable GROUP BY doc_id HAVING bool_and(distance <= cut)
+), two AS (
+  SELECT language, kind, pos, avg(p) AS q FROM p WHERE doc_id IN (SELECT doc_id FROM near) GROUP BY ALL
+), e AS (
+  SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS distance
+  FROM p JOIN two USING (language, kind, pos) GROUP BY doc_id, kind
+), z AS (
+  SELECT b.*, c.distance AS cd, w.distance AS wd FROM b LEFT JOIN e c ON c.doc_id = b.doc_id AND c.kind = 'c' LEFT JOIN e w ON w.doc_id = b.doc_id AND w.kind = 'w'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 9) AS class_distance, round(wd, 9) AS word_distance,
+  NOT base_failed AND NOT (n_chars >= {_LIMITS["min_chars"]} AND coalesce(cd, 0) > {_LIMITS["class_distance"]} OR n_words >= {_LIMITS["min_words"]} AND coalesce(wd, 0) > {_LIMITS["word_distance"]}) AS kept
+FROM z
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": _QUALITY_SQL,
     "op1_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents
@@ -173,6 +238,29 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(9 + 15 * n_turns + CASE WHEN level = 1 THEN escaped ELSE plain END AS BIGINT) AS formatted_chars, CAST(level AS INTEGER) AS level, true AS identical
 FROM g
+""",
+    "op7_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)])) END AS found FROM w
+), t AS (
+  SELECT sha256(array_to_string(found, chr(10))) AS t, any_value(found) AS found, min(doc_id) AS least, count(*) AS n_copies FROM s GROUP BY 1
+), e AS (
+  SELECT t, len(found) AS n, unnest(found) AS g FROM t
+), j AS (
+  SELECT a.t AS a, b.t AS b FROM e a JOIN e b ON a.g = b.g AND a.t <> b.t AND a.n <= 1.25 * b.n AND b.n <= 1.25 * a.n
+  GROUP BY a.t, b.t, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))
+), r(t, u) AS (
+  SELECT t, t FROM t UNION SELECT r.t, j.b FROM r JOIN j ON r.u = j.a
+), c AS (
+  SELECT r.t, min(t.least) AS class_id FROM r JOIN t ON t.t = r.u GROUP BY r.t
+), l AS (
+  SELECT j.a AS t, count(*) AS texts, sum(t.n_copies) AS docs FROM j JOIN t ON t.t = j.b GROUP BY j.a
+)
+SELECT s.doc_id, c.class_id, CAST(coalesce(l.docs, 0) + t.n_copies - 1 AS BIGINT) AS n_links, CAST(coalesce(l.texts, 0) AS BIGINT) AS n_text_links, CAST(t.n_copies AS BIGINT) AS n_copies
+FROM s JOIN t ON t.t = sha256(array_to_string(s.found, chr(10))) JOIN c ON c.t = t.t LEFT JOIN l ON l.t = t.t
 """,
     "op9_url_filters": """
 WITH u AS (
