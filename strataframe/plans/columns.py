@@ -29,6 +29,10 @@ def _away(column: str, stored: str) -> FileNotFoundError:
     return FileNotFoundError(f"the value of {column!r} {decode_key(stored)!r} is on a remote; fetch its data first")
 
 
+def _decoded(keys: DataFrame) -> Iterator[Key]:
+    return (decode_key(r[0]) for r in keys.toLocalIterator())
+
+
 class Streamed:
     """A view that is worked out anew each time it is iterated, streamed from the cluster; equal to a list of the same."""
 
@@ -217,8 +221,9 @@ class FlatColumn(Column):
         found = self._values(access.point(self.records(), encode_key(key)))
         return found[0][2] if found else default
 
-    def keys(self, local: bool = False) -> list[Key]:
-        return [decode_key(r[0]) for r in self._asked(local).select("sample_key").orderBy("sample_key").collect()]
+    def keys(self, local: bool = False) -> Streamed:
+        rows = self._asked(local)
+        return Streamed(rows.count, lambda: _decoded(rows.select("sample_key").orderBy("sample_key")))
 
     def values(self, local: bool = False) -> Streamed:
         rows = self._asked(local)
@@ -373,15 +378,17 @@ class NestedColumn(Column):
         except KeyError:
             return default
 
-    def keys(self, local: bool = False) -> list[Key]:
+    def keys(self, local: bool = False) -> Streamed:
         rows = access.local_samples(self.records(), self._co.store.objects()) if local else self.records().select("sample_key").distinct()
-        return [decode_key(r[0]) for r in rows.orderBy("sample_key").collect()]
+        return Streamed(rows.count, lambda: _decoded(rows.orderBy("sample_key")))
 
-    def values(self, local: bool = False) -> list[Subsamples]:
-        return [Subsamples(self, k) for k in self.keys(local)]
+    def values(self, local: bool = False) -> Streamed:
+        keys = self.keys(local)
+        return Streamed(lambda: len(keys), lambda: (Subsamples(self, k) for k in keys))
 
-    def items(self, local: bool = False) -> list[tuple[Key, Subsamples]]:
-        return [(k, Subsamples(self, k)) for k in self.keys(local)]
+    def items(self, local: bool = False) -> Streamed:
+        keys = self.keys(local)
+        return Streamed(lambda: len(keys), lambda: ((k, Subsamples(self, k)) for k in keys))
 
     def __setitem__(self, sample: Key, value: Mapping | Iterable[tuple]) -> None:
         self.update({sample: value})
