@@ -46,7 +46,7 @@ N, THRESHOLD = 5, 0.8
 SKETCH, LIMIT, DEPTH, RECALL = 64, 1024, 4, 0.99
 #: Sketches agree in this share of places at least for a pair to be a candidate: four standard deviations below the threshold.
 NEAR = 0.6
-BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 2_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 500, 500_000
 SEED = 11
 
 _rng = np.random.default_rng(SEED)
@@ -100,8 +100,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({"unknown": b["unknown"], "rid": b["rid"], "draw": b["draw"], "key": [key_of(s) for s in sets], "n_shingles": [len(s) for s in sets], "sketch": [sketch(s).view(np.int32) for s in sets]})
+            made = [(key_of(s), len(s), sketch(s).view(np.int32)) for s in map(shingles, b["text"])]  # one set at a time
+            keys, sizes, sketches = zip(*made, strict=True) if made else ((), (), ())
+            yield pd.DataFrame({"unknown": b["unknown"], "rid": b["rid"], "draw": b["draw"], "key": keys, "n_shingles": np.array(sizes, np.int32), "sketch": sketches})
 
     return docs.mapInPandas(run, "unknown boolean, rid long, draw long, key binary, n_shingles int, sketch array<int>")
 
@@ -110,9 +111,9 @@ def _stars(keys: list[bytes], near: np.ndarray) -> list[tuple[bytes, bytes]]:
     """(least key, key) for each text of the connected sets of a symmetric boolean matrix, but the least itself."""
     order = np.array(sorted(range(len(keys)), key=lambda i: keys[i]), dtype=np.int64)
     near = near[np.ix_(order, order)] | np.eye(len(keys), dtype=bool)
-    label = np.arange(len(keys))
+    label = np.arange(len(keys), dtype=np.int32)
     while True:
-        new = np.where(near, label[None, :], len(keys)).min(axis=1)
+        new = np.array([label[r].min() for r in near], dtype=np.int32)
         new = np.minimum(new, new[new])
         if (new == label).all():
             break
@@ -120,23 +121,23 @@ def _stars(keys: list[bytes], near: np.ndarray) -> list[tuple[bytes, bytes]]:
     return [(keys[order[label[i]]], keys[order[i]]) for i in range(len(keys)) if label[i] != i]
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shares of equal places, all rows of a against all of b."""
-    out = np.zeros((len(a), len(b)), np.int32)
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of a and rows of b are equal in a share of NEAR of their places at least."""
+    out = np.zeros((len(a), len(b)), np.int8 if a.shape[1] < 128 else np.int32)
     for i in range(a.shape[1]):
         out += a[:, i][:, None] == b[:, i][None, :]
-    return out / a.shape[1]
+    return out >= NEAR * a.shape[1]
 
 
 def _near_in_group(keys: list[bytes], s: np.ndarray, side: np.ndarray) -> list[tuple[bytes, bytes]]:
     """Stars of a node (``side`` 0) or block, or of the pairs across two blocks (sides 1 and 2)."""
     if not side.any():
-        return _stars(keys, _agreement(s, s) >= NEAR)
+        return _stars(keys, _agree(s, s))
     one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
     if not len(one) or not len(two):
         return []
     near = np.zeros((len(keys), len(keys)), dtype=bool)
-    near[np.ix_(one, two)] = _agreement(s[one], s[two]) >= NEAR
+    near[np.ix_(one, two)] = _agree(s[one], s[two])
     return _stars(keys, near | near.T)
 
 
@@ -261,33 +262,55 @@ def _links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Exact links of a block, or across two blocks: counts by text, and stars of the links."""
     _, _, i, j = key
     pdf = pdf.drop_duplicates("key").reset_index(drop=True)
+    keys, copies, places = list(pdf["key"]), pdf["n_copies"].to_numpy(np.int64), pdf["place"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in pdf["found"]]
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times[col] > 1
-    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
+    row, col = _shared(sets)
+    del sets, pdf
     both = np.zeros((n, n), np.float32)
-    for at in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
-        a, b = np.searchsorted(col, (at, at + 2048))
-        m = np.zeros((n, 2048), np.float32)
+    m = np.zeros((n, COLUMNS), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        a, b = np.searchsorted(col, (at, at + COLUMNS))
         m[row[a:b], col[a:b] - at] = 1
         both += m @ m.T
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = both >= THRESHOLD * union - 1e-6
-    linked[np.arange(n), np.arange(n)] = False
-    if i != j:
-        block = pdf["place"].to_numpy()
-        linked &= block[:, None] != block[None, :]
-    copies, keys = pdf["n_copies"].to_numpy(np.int64), list(pdf["key"])
-    out = pd.DataFrame({"key": keys, "texts": linked.sum(1), "docs": (linked * copies[None, :]).sum(1), "a": None})
+        m[row[a:b], col[a:b] - at] = 0
+    del m, row, col
+    linked, docs = np.zeros((n, n), dtype=bool), np.zeros(n, np.int64)
+    for at in range(0, n, ROWS):
+        part = slice(at, min(at + ROWS, n))
+        near = (1 + THRESHOLD) * both[part].astype(np.float64) >= THRESHOLD * (sizes[part, None] + sizes[None, :]) - 1e-6
+        near[np.arange(near.shape[0]), np.arange(part.start, part.stop)] = False
+        if i != j:
+            near &= places[part, None] != places[None, :]
+        linked[part], docs[part] = near, near @ copies
+    del both
+    out = pd.DataFrame({"key": keys, "texts": linked.sum(1), "docs": docs, "a": None})
     out = out[out["texts"] > 0]
     stars = _stars(keys, linked)
     return pd.concat([out, pd.DataFrame({"key": [b for _, b in stars], "texts": 0, "docs": 0, "a": [a for a, _ in stars]})]).astype({"texts": "int64", "docs": "int64"})
 
 
+#: Columns of a piece of the matrix of texts and shingles, and rows of a piece of the comparison: they bound a task's memory.
+COLUMNS, ROWS = 2048, 256
+
+
+def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each shingle that two sets or more have, by column; columns number such shingles."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(flat)
+    flat, row = flat[order], row[order]
+    del order
+    again = flat[1:] == flat[:-1]
+    shared = np.r_[again, False] | np.r_[False, again]
+    flat, row = flat[shared], row[shared]
+    if not len(flat):
+        return row, row
+    return row, np.cumsum(np.r_[False, flat[1:] != flat[:-1]], dtype=np.int32)
+
+
+#: Texts whose sets leave a task together.
+SETS = 500
 #: Of a text to check: its class of size, the blocks of that class, and of those above and below.
 PLAN = ["size", "blocks", "above", "below"]
 
@@ -308,9 +331,12 @@ def _checked(docs: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [shingles(t) for t in b["text"]]
-            b = b.assign(key=[key_of(s) for s in found], found=[s.tobytes() for s in found])
-            yield b[b["key"] == b["wanted"]][["key", "label", "n_copies", *PLAN, "found"]]
+            texts = b.pop("text")
+            for at in range(0, len(b), SETS):
+                part = b.iloc[at : at + SETS]
+                found = [shingles(t) for t in texts.iloc[at : at + SETS]]
+                part = part.assign(key=[key_of(s) for s in found], found=[s.tobytes() for s in found])
+                yield part[part["key"] == part["wanted"]][["key", "label", "n_copies", *PLAN, "found"]]
 
     found = docs.join(members.hint("shuffle_hash"), ["unknown", "rid", "draw"]).select("text", "wanted", "label", "n_copies", *[F.col("plan")[c].alias(c) for c in PLAN])
     found = found.mapInPandas(sets, f"key binary, label binary, n_copies long, {', '.join(f'{c} int' for c in PLAN)}, found binary")
